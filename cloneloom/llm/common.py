@@ -75,12 +75,13 @@ def rank_in_groups(table: DataFrame, group: list[str], order: list[str], salts:
     return local.join(base, keys).withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_salt", "_base", "_place")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n_rows: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n_rows: int, hint: str | None = None) -> DataFrame:
     """Inner join of ``rows`` with one row per group.
 
     Groups of more than ``HOT_SHARE`` of all rows are at most
     ``1 / HOT_SHARE``, so they are broadcast and their rows stay where they
-    are; all others go through an ordinary shuffled join.
+    are; all others go through an ordinary join, for which ``hint`` can name
+    the strategy.
     """
     least = max(1, int(n_rows * HOT_SHARE))
     hot = groups.filter(F.col(size) > least)
@@ -88,7 +89,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, n
     hot_keys = hot.select(*key).withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot_keys), key, "left")
     in_hot = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
-    in_cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(cold, key)
+    in_cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(cold.hint(hint) if hint else cold, key)
     return in_hot.unionByName(in_cold)
 
 

@@ -123,7 +123,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = marks.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = written(groups, "fingerprint_groups")
     several = groups.filter("group_size > 1")
-    members = join_groups(fingerprints(docs, id_col, text_col), several, KEY, "group_size", n_rows)
+    members = written(join_groups(fingerprints(docs, id_col, text_col), several, KEY, "group_size", n_rows, "merge"), "members")
     odd = written(differing(members), "differing")
     if odd.isEmpty():
         single = groups.filter("group_size = 1").select(*KEY)
