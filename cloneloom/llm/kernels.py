@@ -107,8 +107,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return splitmix(out ^ (length.astype(_U) << _U(40)))
 
 
-def words(data: np.ndarray, bounds: np.ndarray, hashed: bool = True) -> Words:
-    start, end = runs(~SPACE[data], bounds)
+def words(data: np.ndarray, bounds: np.ndarray, hashed: bool = True, space: np.ndarray = SPACE) -> Words:
+    start, end = runs(~space[data], bounds)
     row = np.searchsorted(bounds, start, "right") - 1
     # rows without bytes share a bound with the next row; the last one holds it
     row_at = np.searchsorted(row, np.arange(len(bounds)))

@@ -39,6 +39,8 @@ MOST_BROADCAST = 100_000
 
 UNIT = "struct<doc_id: bigint, size: bigint, copies: bigint, p: double, h: bigint>"
 
+SETTLED = "struct<doc_id: bigint, size: bigint, copies: bigint, h: bigint>"
+
 
 def word_count(column: Column) -> Column:
     return F.regexp_count(column, F.lit(WORD)).cast("long")
@@ -76,7 +78,7 @@ def _uniform(h: Column, salt: Column) -> Column:
 
 
 def _settled(unit: Column, extra: Column) -> Column:
-    return F.struct(unit["doc_id"].alias("doc_id"), unit["size"].alias("size"), (unit["copies"] + extra).alias("copies"))
+    return F.struct(unit["doc_id"].alias("doc_id"), unit["size"].alias("size"), (unit["copies"] + extra).alias("copies"), unit["h"].alias("h"))
 
 
 def _with_p(unit: Column, p: Column) -> Column:
@@ -106,7 +108,7 @@ def _meet(state: Column, b: Column) -> Column:
 def _fold(units: Column) -> Column:
     """Settle all but one of a leaf's documents, the largest first."""
     first = F.element_at(units, 1)
-    none = F.array().cast("array<struct<doc_id: bigint, size: bigint, copies: bigint>>")
+    none = F.array().cast(f"array<{SETTLED}>")
     start = F.struct(first.alias("left"), none.alias("done"))
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), start, _meet)
 
@@ -117,7 +119,7 @@ def _leaf(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """(src, doc_id, size, copies) of (src int, unit struct) with fractional
+    """(src, doc_id, size, copies, h) of (src int, unit struct) with fractional
     probabilities.
 
     Levels: hash leaves inside (source, size class) until each class has one
@@ -144,7 +146,7 @@ def rounded(units: DataFrame) -> DataFrame:
         level = level.withColumn("leaf", F.pmod("leaf", F.lit(leaves)))
     level = settle(level.select("src", "unit"), ["src"])
     last = F.when(_uniform(F.col("unit.h"), F.lit(-1)) < F.col("unit.p"), 1).otherwise(0)
-    out = level.select("src", "unit.doc_id", "unit.size", (F.col("unit.copies") + last).cast("long").alias("copies"))
+    out = level.select("src", "unit.doc_id", "unit.size", (F.col("unit.copies") + last).cast("long").alias("copies"), "unit.h")
     for d in done:
         out = out.unionByName(d)
     return out
@@ -160,13 +162,8 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
-
-    ``taken`` is ``size`` times ``copies``. A document without a word is taken
-    0 times. Random choices depend on ids and texts only, so reruns agree;
-    repeated rows count as documents of their own. An empty table stays empty.
-    """
+def _mixed_rows(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, h) of all documents."""
     sized = written(_sized(docs, id_col, text_col, source_col), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     sources = written(sources.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("int")), "sources")
@@ -177,9 +174,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "h", "src", F.when(F.col("size") > 0, per).otherwise(0.0).alias("per"))
     whole = F.floor("per").cast("long")
     rows = rows.withColumn("copies", whole).withColumn("p", F.col("per") - whole)
-    settled = rows.filter("p <= 0").select("src", "doc_id", "size", "copies")
+    settled = rows.filter("p <= 0").select("src", "doc_id", "size", "copies", "h")
     units = rows.filter("p > 0").select("src", F.struct("doc_id", "size", "copies", "p", "h").cast(UNIT).alias("unit"))
     units = written(units, "units")
     out = settled if units.isEmpty() else settled.unionByName(rounded(units))
-    joined = out.join(sources, "src")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return out.join(sources, "src").select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), "h")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies.
+
+    ``taken`` is ``size`` times ``copies``. A document without a word is taken
+    0 times. Random choices depend on ids and texts only, so reruns agree;
+    repeated rows count as documents of their own. An empty table stays empty.
+    """
+    rows = _mixed_rows(docs, weights, most, id_col, text_col, source_col)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all
+    its columns. Of rows with the same id and text one takes all their copies.
+    """
+    rows = _mixed_rows(docs, weights, most, id_col, text_col, source_col)
+    taken = rows.groupBy("h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("h", "_h")
+    taken = written(taken, "taken")
+    marked = docs.withColumn("_h", F.xxhash64(F.col(id_col), text_of(text_col)))
+    if not taken.filter("_rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["_h"])
+    out = marked.join(taken.filter("_copies > 0").select("_h", "_copies"), "_h")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
