@@ -1,19 +1,42 @@
-"""Token ids of whole texts, by the tokenizers library."""
+"""Token ids of whole texts, by the tokenizers library.
+
+A byte-level BPE tokenizer cuts a text into pieces by a pattern and encodes
+each on its own, so ids of equal pieces are equal. Texts are cut here at places
+where that pattern always cuts, and each worker keeps the ids of the chunks it
+has met, so that the tokenizer encodes a frequent chunk once. Tokenizers of
+another make get whole texts.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handed to the tokenizer at once.
+#: Characters of text encoded in one step; a longer text forms a step alone.
 STEP_CHARS = 1 << 20
 
+#: Chunks whose ids a worker keeps; the older half goes when there are more.
+MOST_CHUNKS = 800_000
+
+#: Chunks joined for one call of the tokenizer.
+JOINED = 2000
+
 END_ID = 2
 
-_loaded: dict[str, object] = {}
+_loaded: dict[str, Tokens] = {}
+
+# Where a text can't be cut before each space and line break: in a run of white
+# space that goes on after one of them.
+_RUN = re.compile(r"\s[ \n](?:\s|$)|\0")
+# Where it can't be cut before stops and commas: after anything but a letter or
+# digit, with which they could form one piece.
+_JOINED_STOP = re.compile("[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
 
 
 def default_tokenizer() -> str:
@@ -22,22 +45,118 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def load(path: str):
-    """The tokenizer in ``path``, once per worker. The file belongs to an
-    installed package, so every executor has it under its own path."""
-    if path not in _loaded:
+def chunks(text: str) -> list[str] | None:
+    """Chunks of a text that byte-level BPE encodes on their own, or None.
+
+    A piece holds white space at its start only, unless it is a run of it. So
+    there is a cut before each space or line break that follows something else,
+    and before the last of a run. A letter or digit never shares a piece with
+    a stop or comma after it.
+    """
+    if _RUN.search(text):
+        return None
+    marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
+    if not _JOINED_STOP.search(text):
+        marked = marked.replace(".", "\0.").replace(",", "\0,")
+    return marked.split("\0")
+
+
+class Tokens:
+    """A tokenizer with the ids of the chunks that it has met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _loaded[path] = tokenizer
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        spec = json.loads(self.plain.to_str())
+        pre, special = spec["pre_tokenizer"] or {}, [t for t in spec["added_tokens"] if t["special"]]
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.cutting = bool(byte_level and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and special)
+        if self.cutting:
+            # here the special token is one, and parts chunks from each other
+            self.parting = Tokenizer.from_file(path)
+            self.part, self.part_id = special[0]["content"], special[0]["id"]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _shrink(self) -> None:
+        """Forget the older half."""
+        old = len(self.known) // 2
+        first = int(self.start[old])
+        self.known = {w: k - old for w, k in islice(self.known.items(), old, None)}
+        self.start, self.length = self.start[old:] - first, self.length[old:]
+        self.pool = self.pool[first:]
+
+    def _encoded(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of chunks, one after another, and how many each has."""
+        odd = {k for k, w in enumerate(new) if self.part in w}
+        even = [w for k, w in enumerate(new) if k not in odd] if odd else new
+        joined = [self.part.join(even[k : k + JOINED]) + self.part for k in range(0, len(even), JOINED)]
+        ids = [np.array(e.ids, np.uint32) for e in self.parting.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.part_id)
+        parts, length = flat[flat != self.part_id], np.diff(ends, prepend=-1) - 1
+        if not odd:
+            return [parts, length]
+        own = iter(np.split(parts, np.cumsum(length)[:-1]) if len(length) else [])
+        lists = [np.array(self.plain.encode(w, add_special_tokens=False).ids, np.uint32) if k in odd else next(own) for k, w in enumerate(new)]
+        return [np.concatenate(lists), np.array([len(x) for x in lists], np.int64)]
+
+    def _learn(self, new: list[str]) -> None:
+        ids, length = self._encoded(new)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        cut = [chunks(t) for t in texts] if self.cutting else [None] * len(texts)
+        flat = [w for c in cut if c for w in c]
+        new = set(flat).difference(self.known)
+        if new and len(self.known) + len(new) > MOST_CHUNKS:
+            if len(new) > MOST_CHUNKS // 2:
+                self._forget()
+            else:
+                self._shrink()
+            new = set(flat).difference(self.known)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        length = self.length[at]
+        ends = np.cumsum(length)
+        place = np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = self.pool[place + np.repeat(self.start[at] - ends + length, length)]
+        bounds = np.concatenate([[0], ends])
+        whole = iter(self.plain.encode_batch_fast([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
+        first = 0
+        for c in cut:
+            if c is None:
+                yield np.array(next(whole).ids, np.uint32)
+            else:
+                yield ids[bounds[first] : bounds[first + len(c)]]
+                first += len(c)
+
+
+def load(path: str) -> Tokens:
+    """The tokenizer in ``path``, once per worker. The file belongs to an
+    installed package, so every executor has it under its own path."""
+    if path not in _loaded:
+        _loaded[path] = Tokens(path)
     return _loaded[path]
 
 
 def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of each text; a null is empty."""
     tokenizer = load(path)
+    end = np.array([end_id], np.uint32)
     waiting: list[str] = []
     size, first = 0, 0
     for k in range(len(texts)):
@@ -45,8 +164,6 @@ def encode(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[i
         waiting.append(text)
         size += len(text)
         if size >= STEP_CHARS or k == len(texts) - 1:
-            for j, e in enumerate(tokenizer.encode_batch_fast(waiting, add_special_tokens=False)):
-                ids = np.empty(len(e) + 1, np.uint32)
-                ids[:-1], ids[-1] = e.ids, end_id
-                yield first + j, ids
+            for j, ids in enumerate(tokenizer.encode(waiting)):
+                yield first + j, np.concatenate([ids, end])
             first, waiting, size = k + 1, [], 0

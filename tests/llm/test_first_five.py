@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def ids_of(text):
-    return [*tokens.load(tokens.default_tokenizer()).encode(text, add_special_tokens=False).ids, 2]
+    return [*tokens.load(tokens.default_tokenizer()).plain.encode(text, add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
