@@ -10,7 +10,9 @@ pair's chance to meet reaches the target recall.
 
 Work stays in proportion: equal sets are one; buckets with the same members
 are one; a bucket yields per-set counts and a spanning forest, not pairs; and
-a pair that meets in several buckets counts in the least only.
+a pair that meets in several buckets counts in the least only. Sketches of 128
+bytes tell which sets of a bucket can have a partner there; only for those are
+texts read again and whole sets compared.
 """
 
 from __future__ import annotations
@@ -44,6 +46,15 @@ ALIKE = 0.4
 
 TILE = 512
 
+#: Bins of a sketch (one-permutation MinHash), and the similarity estimated
+#: from it under which a pair isn't compared. It is five deviations of the
+#: estimate below the wanted similarity.
+BINS = 64
+FIVE_DEVIATIONS = 5.0
+
+#: Sets of fewer shingles leave bins empty and are compared without a sketch.
+SKETCHED = 256
+
 _U = np.uint64
 _TOP = float(2**64)
 
@@ -83,16 +94,32 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
+_BIN_STARTS = np.arange(BINS, dtype=_U) << _U(64 - BINS.bit_length() + 1)
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Sixteen bits of the least token in each bin of the hash range; 0 if the
+    bin is empty. The tokens are sorted."""
+    at = np.searchsorted(tokens, _BIN_STARTS)
+    ends = np.append(at[1:], len(tokens))
+    out = np.zeros(BINS, np.uint16)
+    full = at < ends
+    out[full] = kernels.splitmix(tokens[at[full]]).astype(np.uint16) | np.uint16(1)
+    return out
+
+
 def _keys_of(runs: int, similarity: float):
     def run(batches):
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, sketches = [], [], [], []
             for _, own in kernels.shingle_sets(batch.column(1)):
                 ids.append(_set_id(own) if len(own) else None)
                 sizes.append(len(own))
                 keys.append(_signed(np.concatenate([_chosen(own, r + 1, similarity) for r in range(runs)])))
+                sketches.append(_sketch(own).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys)], names=["doc_id", "sid", "n", "keys"]
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), pa.array(sketches, pa.binary())],
+                names=["doc_id", "sid", "n", "keys", "sketch"],
             )
 
     return run
@@ -109,24 +136,6 @@ def _tokens_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], names=["sid", "tokens"])
 
 
-def _split(similarity: float):
-    """Rows (bucket, sid) of the sub-buckets of (sid, tokens, buckets)."""
-
-    def run(batches):
-        for batch in batches:
-            out_keys, out_ids = [], []
-            for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column(1)[k].as_py(), _U)
-                for bucket in batch.column(2)[k].as_py():
-                    keys = _signed(_chosen(own, bucket, similarity))
-                    out_keys.append(keys)
-                    out_ids += [batch.column(0)[k].as_py()] * len(keys)
-            flat = np.concatenate(out_keys) if out_keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(out_ids, pa.binary())], names=["bucket", "sid"])
-
-    return run
-
-
 def _common(parts: list[np.ndarray], step: int = 1 << 22) -> np.ndarray:
     """How many elements each two of several sets share, exactly."""
     m = len(parts)
@@ -152,14 +161,45 @@ def _common(parts: list[np.ndarray], step: int = 1 << 22) -> np.ndarray:
     return out
 
 
-def _compare(bucket: int, crossing: bool, rows: list[tuple], similarity: float) -> Iterator[tuple]:
-    """(sid, root, links) of the sets of a tile that have a link in it."""
-    ids, weights, blocks, lists, sets = zip(*rows, strict=True)
-    m = len(ids)
+def _open_pairs(bucket: int, crossing: bool, blocks: tuple, lists: tuple) -> np.ndarray:
+    """Which two sets of a tile are to be compared in it: of different blocks,
+    if it crosses two, and with no lesser bucket in common."""
+    m = len(blocks)
     before = _common([np.array([b for b in own if b < bucket], np.int64) for own in lists]) > 0
     block = np.array(blocks)
     apart = block[:, None] != block[None, :] if crossing else np.ones((m, m), bool)
-    open_ = apart & ~before & ~np.eye(m, dtype=bool)
+    return apart & ~before & ~np.eye(m, dtype=bool)
+
+
+def _sift(bucket: int, crossing: bool, rows: list[tuple], similarity: float) -> Iterator[tuple]:
+    """The rows of a tile that can have a partner in it, without size and
+    sketch."""
+    _, _, blocks, lists, sizes, sketches = zip(*rows, strict=True)
+    open_ = _open_pairs(bucket, crossing, blocks, lists)
+    size = np.array(sizes, np.int64)
+    low, high = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    open_ &= low >= similarity * high - 1e-9
+    busy = np.flatnonzero(open_.any(1))
+    if not len(busy):
+        return
+    sketch = np.frombuffer(b"".join(sketches[k] for k in busy), np.uint16).reshape(len(busy), BINS)
+    same, empty = np.zeros((2, len(busy), len(busy)), np.int16)
+    for b in range(BINS):
+        own = sketch[:, b]
+        equal = own[:, None] == own[None, :]
+        empty += equal & (own == 0)[:, None]
+        same += equal
+    bins = BINS - empty
+    least = similarity * bins - FIVE_DEVIATIONS * np.sqrt(similarity * (1 - similarity) * bins)
+    near = (same - empty >= least) | (low[np.ix_(busy, busy)] < SKETCHED)
+    for k in np.flatnonzero((open_[np.ix_(busy, busy)] & near).any(1)):
+        yield rows[busy[k]][:4]
+
+
+def _compare(bucket: int, crossing: bool, rows: list[tuple], similarity: float) -> Iterator[tuple]:
+    """(sid, root, links) of the sets of a tile that have a link in it."""
+    ids, weights, blocks, lists, sets = zip(*rows, strict=True)
+    open_ = _open_pairs(bucket, crossing, blocks, lists)
     busy = np.flatnonzero(open_.any(1))
     if not len(busy):
         return
@@ -180,27 +220,42 @@ def _compare(bucket: int, crossing: bool, rows: list[tuple], similarity: float)
         yield ids[busy[k]], ids[busy[label[k]]], int(links[k])
 
 
-def _compare_tiles(similarity: float):
-    """Streams rows sorted by (bucket, tile); holds one tile at a time."""
+TILE_SCHEMA = "bucket long, i int, j int, sid binary, mult long, block int, buckets array<long>"
+
+LINK_SCHEMA = "sid binary, root binary, links long"
+
+
+def _by_tile(work, similarity: float, with_tile: bool):
+    """Streams rows sorted by (bucket, i, j); holds one tile at a time. Rows
+    of the same set count once."""
+    link_types = [pa.binary(), pa.binary(), pa.int64()]
+    tile_types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    types = tile_types if with_tile else link_types
+    names = [c.split()[0] for c in (TILE_SCHEMA if with_tile else LINK_SCHEMA).split(", ")]
 
     def run(batches):
-        now, rows = None, []
+        now, rows, out = None, {}, []
 
-        def found():
-            got = list(_compare(now[0], now[1] != now[2], rows, similarity)) if len(rows) > 1 else []
-            a, b, c = zip(*got, strict=True) if got else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], names=["sid", "root", "links"])
+        def close():
+            if len(rows) > 1:
+                got = work(now[0], now[1] != now[2], list(rows.values()), similarity)
+                out.extend((*now, *r) if with_tile else r for r in got)
+
+        def batch_of():
+            columns = zip(*out, strict=True) if out else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != now:
-                    if rows:
-                        yield found()
-                    now, rows = (bucket, i, j), []
-                rows.append(tuple(row))
-        if rows:
-            yield found()
+                    close()
+                    now, rows = (bucket, i, j), {}
+                rows[row[0]] = tuple(row)
+            yield batch_of()
+            out.clear()
+        close()
+        yield batch_of()
 
     return run
 
@@ -243,7 +298,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys)."""
+    """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys, sketch)."""
 
     def sized(rows: DataFrame) -> DataFrame:
         """Rows of buckets with two members or more, with their number."""
@@ -256,12 +311,6 @@ def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return written(join_groups(rows, written(groups, "buckets"), ["bucket"], "members", max(1, rows.count())), "shared_rows")
 
     level = sized(sets.select(F.explode("keys").alias("bucket"), "sid"))
-    need = level.select("sid").distinct()
-    wanted = sets.join(need, "sid", "left_semi").select("sid", "rep")
-    whole = docs.select(F.col("doc_id").alias("rep"), "text")
-    named = whole.join(wanted.withColumnRenamed("rep", "_rep"), F.col("rep").eqNullSafe(F.col("_rep"))).select("sid", "text")
-    tokens = written(named.mapInArrow(_tokens_of, "sid binary, tokens binary").dropDuplicates(["sid"]), "tokens")
-
     leaves: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         leaves.append(level.filter(F.col("members") <= SMALL))
@@ -277,26 +326,32 @@ def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         share = written(share.select("bucket", (F.col("share") >= ALIKE).alias("alike"), "members"), "shares")
         judged = written(join_groups(large.drop("members"), share, ["bucket"], "members", max(1, level.count())), "judged")
         leaves.append(judged.filter("alike").select("bucket", "sid", "members"))
-        again = judged.filter("not alike").groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))
-        again = tokens.join(again, "sid").select("sid", "tokens", "buckets")
-        level = sized(again.mapInArrow(_split(similarity), "bucket long, sid binary"))
+        # split by tokens that the set has chosen before, chosen anew on this path
+        again = judged.filter("not alike").join(sets.select("sid", "keys"), "sid")
+        rate = MEAN / (similarity * F.size("keys"))
+        again = again.select("sid", "bucket", rate.alias("rate"), F.explode("keys").alias("key")).filter("key <> bucket")
+        again = again.select(F.xxhash64("bucket", "key").alias("bucket"), "sid", "rate")
+        level = sized(again.filter(F.pmod("bucket", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("bucket", "sid"))
 
     rows = leaves[0].select("bucket", "sid", "members")
     for leaf in leaves[1:]:
         rows = rows.unionByName(leaf.select("bucket", "sid", "members"))
     own = rows.groupBy("sid").agg(F.collect_list(F.struct("bucket", "members")).alias("at"))
-    full = tokens.join(own, "sid").join(sets.select("sid", "mult"), "sid")
-    full = full.select("sid", "mult", F.col("at.bucket").alias("buckets"), "tokens", F.explode("at").alias("b"))
+    full = own.join(sets.select("sid", "mult", "n", "sketch"), "sid")
+    full = full.select("sid", "mult", F.col("at.bucket").alias("buckets"), "n", "sketch", F.explode("at").alias("b"))
     blocks = F.ceil(F.col("b.members") / TILE).cast("int")
     full = full.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    full = full.withColumn("other", other)
-    tiled = full.select(
-        F.col("b.bucket").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "sid", "mult", "block", "buckets", "tokens",
-    )
-    dealt = tiled.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return written(dealt.mapInArrow(_compare_tiles(similarity), "sid binary, root binary, links long"), "links")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tile = [F.col("b.bucket").alias("bucket"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    at = ["bucket", "i", "j"]
+    tiled = full.select(*tile, "sid", "mult", "block", "buckets", "n", "sketch").repartition(*at).sortWithinPartitions(*at)
+    busy = written(tiled.mapInArrow(_by_tile(_sift, similarity, True), TILE_SCHEMA), "busy")
+
+    wanted = busy.select("sid").distinct().join(sets.select("sid", F.col("rep").alias("_rep")), "sid")
+    named = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("sid", "text")
+    tokens = written(named.mapInArrow(_tokens_of, "sid binary, tokens binary"), "tokens")
+    whole = busy.join(tokens, "sid").select(*at, "sid", "mult", "block", "buckets", "tokens").repartition(*at).sortWithinPartitions(*at)
+    return written(whole.mapInArrow(_by_tile(_compare, similarity, False), LINK_SCHEMA), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,10 +365,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     linked by their texts like others. An empty table stays empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, sid binary, n long, keys array<long>"), "keyed")
+    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, sid binary, n long, keys array<long>, sketch binary"), "keyed")
     n_rows = keyed.count()
     sets = keyed.filter("sid is not null").groupBy("sid").agg(
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys")
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
     )
     sets = written(sets, "sets")
     links = _links(rows, sets, similarity)
