@@ -40,9 +40,11 @@ DEPTH = 3
 #: Sets up to which a bucket is compared at once.
 SMALL = 64
 
-#: A large bucket whose members share this part of their chosen tokens is
-#: compared in tiles; splitting would not part them.
+#: A large bucket is compared in tiles if two members agree with this chance
+#: on the least of their chosen tokens in one of some orders; splitting would
+#: not part them.
 ALIKE = 0.4
+ORDERS = 4
 
 TILE = 512
 
@@ -297,6 +299,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
+def _in_order(k: int):
+    return lambda key: F.xxhash64(key, F.lit(k))
+
+
 def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys, sketch)."""
 
@@ -320,7 +326,10 @@ def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if depth == DEPTH:
             leaves.append(large)
             break
-        seen = large.join(sets.select("sid", "keys"), "sid").select("bucket", "members", F.explode("keys").alias("key"))
+        # the least of a member's keys in a few orders, as in MinHash
+        others = F.filter("keys", lambda k: k != F.col("bucket"))
+        least = F.array(*(F.array_min(F.transform(others, _in_order(k))) for k in range(ORDERS)))
+        seen = large.join(sets.select("sid", "keys"), "sid").select("bucket", "members", F.explode(least).alias("key"))
         seen = seen.groupBy("bucket", "members", "key").agg(F.count(F.lit(1)).cast("double").alias("c"))
         share = seen.groupBy("bucket").agg((F.sum(F.col("c") * F.col("c")) / (F.first("members") * F.sum("c"))).alias("share"), F.first("members").alias("members"))
         share = written(share.select("bucket", (F.col("share") >= ALIKE).alias("alike"), "members"), "shares")
