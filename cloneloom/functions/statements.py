@@ -90,7 +90,7 @@ def number(text: Column) -> Column:
     whole = F.when(clean.rlike(r"^\+?[0-9]{1,20}$"), F.regexp_replace(clean, r"\+", "").cast(ADDRESS))
     tagged = reduce(lambda e, r: e.when(clean.rlike(r[2]), F.conv(F.substring(clean, 3, 64), r[1], 10).cast(ADDRESS)), radix[1:], F.when(clean.rlike(radix[0][2]), F.conv(F.substring(clean, 3, 64), 16, 10).cast(ADDRESS)))
     found = F.coalesce(tagged, whole)
-    return F.when(found <= F.lit(2**64 - 1).cast(ADDRESS), found)
+    return F.when(found <= F.lit(str(2**64 - 1)).cast(ADDRESS), found)
 
 
 def tag(arch: Column, bits: Column, path: Column) -> Column:

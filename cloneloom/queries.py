@@ -1,11 +1,664 @@
-"""Queries of the clone-detection operators, and their SQL."""
+"""Queries of the clone-detection operators over the driver's tables, and the
+same in SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import views as V
+from .functions import blocks as B
+from .functions import statements as S
+from .operators import cfg, combined, graph, pages, results, semantic, structural, structure, vectors
+from .operators.common import written
+from .plans.detect import Corpus, detect_clones
+from .sources import dot as dot_source
+from .sources import dumps
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _user(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(F.col("function_id").cast("long").alias("user_id"), *columns)
+
+
+# -- statements
+
+_TRIMMED = r"regexp_replace(translate(role || ' ' || text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""
+    WITH s AS (SELECT conv_id, turn, {_TRIMMED} AS instruction FROM conversations)
+    SELECT conv_id, turn, split_part(instruction, ' ', 1) AS mnemonic,
+           CASE WHEN instr(instruction, ' ') > 0 THEN substr(instruction, instr(instruction, ' ') + 1) ELSE '' END AS args
+    FROM s
+""")
+def stmt_parse(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(" "), "text").alias("instruction"))
+    return S.parse(rows).select("conv_id", "turn", "mnemonic", "args")
+
+
+_X86 = ("mov", "ret", "jmp", "je", "jnl", "jcxz", "call", "j", "leave", "add")
+_ARM = ("b", "beq", "b.ne", "bl", "bx", "bxle", "ret", "ble", "blt", "mov", "moveq", "le", "bx.hi", "cs", "b.le", "bge")
+
+
+def _picked(spark, sf_dir, names):
+    at = (F.col("event_id") % len(names) + 1).cast("int")
+    return V.table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, names)), at).alias("mnemonic"))
+
+
+def _pick_sql(names) -> str:
+    return f"SELECT event_id, ([{', '.join(repr(n) for n in names)}])[event_id % {len(names)} + 1] AS mnemonic FROM events"
+
+
+@query(f"""
+    SELECT event_id, mnemonic,
+           CASE WHEN mnemonic = 'ret' THEN 'RetUnconditional' WHEN mnemonic = 'jmp' THEN 'JumpUnconditional'
+                WHEN starts_with(mnemonic, 'j') THEN 'JumpConditional' ELSE 'NoJump' END AS jump
+    FROM ({_pick_sql(_X86)})
+""")
+def jump_class_x86(spark, sf_dir):
+    rows = _picked(spark, sf_dir, _X86)
+    return rows.withColumn("jump", S.jump(F.lit("x86"), F.col("mnemonic")))
+
+
+@query(f"""
+    WITH m AS ({_pick_sql(_ARM)}),
+    c AS (SELECT *, length(mnemonic) >= 3 AND right(mnemonic, 2) IN
+          ('eq','ne','cs','hs','cc','lo','mi','pl','vs','vc','hi','ls','ge','gt','lt','le') AS conditional FROM m),
+    t AS (SELECT *, CASE WHEN conditional THEN rtrim(left(mnemonic, length(mnemonic) - 2), '.') ELSE mnemonic END AS bare FROM c)
+    SELECT event_id, mnemonic, bare,
+           CASE WHEN bare = 'b' AND conditional THEN 'JumpConditional' WHEN bare = 'b' THEN 'JumpUnconditional'
+                WHEN bare = 'bx' AND conditional THEN 'RetConditional' WHEN bare = 'bx' THEN 'RetUnconditional' ELSE 'NoJump' END AS jump
+    FROM t
+""")
+def jump_class_arm(spark, sf_dir):
+    rows = _picked(spark, sf_dir, _ARM)
+    return rows.select("event_id", "mnemonic", S.without_condition(F.col("mnemonic")).alias("bare"), S.jump(F.lit("arm"), F.col("mnemonic")).alias("jump"))
+
+
+_SPELLINGS = ("icall", "call", "mcjmp", "acmp", "rjmp", "ulea", "rpush", "cret", "cswi", "xor", "bogus", "nop", "")
+
+
+@query(f"""
+    WITH m AS ({_pick_sql(_SPELLINGS)})
+    SELECT CASE mnemonic WHEN 'icall' THEN 'call' WHEN 'mcjmp' THEN 'cjmp' WHEN 'acmp' THEN 'cmp' WHEN 'rjmp' THEN 'jmp' WHEN 'ulea' THEN 'lea'
+             WHEN 'rpush' THEN 'push' WHEN 'cret' THEN 'ret' WHEN 'cswi' THEN 'swi' WHEN 'bogus' THEN 'unk' WHEN '' THEN 'unk' ELSE mnemonic END AS family,
+           count(*) AS n
+    FROM m GROUP BY 1
+""")
+def family_map(spark, sf_dir):
+    return S.with_family(_picked(spark, sf_dir, _SPELLINGS), "mnemonic").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id * 7 WHEN event_id % 3 = 1 THEN event_id ELSE NULL END AS target FROM events
+""")
+def jump_targets(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.concat(F.lit("0x"), F.lower(F.hex(e * 7)))).when(e % 3 == 1, e.cast("string")).otherwise(F.concat(F.lit("r"), e.cast("string")))
+    return V.table(spark, sf_dir, "events").select("event_id", S.number(text).cast("long").alias("target"))
+
+
+@query("""
+    SELECT n_nationkey, '[arm_' || (n_nationkey * 8) || ']/bin/' || n_name AS tagged, 'arm' AS arch, CAST(n_nationkey * 8 AS VARCHAR) AS bits, '/bin/' || n_name AS path FROM nation
+""")
+def binary_tags(spark, sf_dir):
+    tagged = S.tag(F.lit("arm"), (F.col("n_nationkey") * 8).cast("int"), F.concat(F.lit("/bin/"), "n_name"))
+    rows = V.table(spark, sf_dir, "nation").select("n_nationkey", tagged.alias("tagged"))
+    arch, bits, path = S.untag(F.col("tagged"))
+    return rows.select("n_nationkey", "tagged", arch.alias("arch"), bits.alias("bits"), path.alias("path"))
+
+
+@query("""
+    SELECT o_custkey, string_agg('0x' || printf('%x', o_orderkey), ',' ORDER BY o_orderkey) AS blocks FROM orders GROUP BY 1
+""")
+def block_lists(spark, sf_dir):
+    """Sinks are left out of the list."""
+    rows = V.order_trees(spark, sf_dir).groupBy(F.col("function_id").cast("long").alias("o_custkey"))
+    rows = rows.agg(F.concat(F.flatten(F.collect_list("basic_blocks")), F.array(B.new_sink())).alias("b"))
+    return rows.select("o_custkey", B.block_list(F.col("b")).alias("blocks"))
+
+
+# -- dumps
+
+
+@query("SELECT 'app' || n_regionkey AS binary_id, n_name AS name, CAST(max(n_nationkey) * 16 AS BIGINT) AS offset FROM nation GROUP BY 1, 2")
+def scan_function_names(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("app"), "n_regionkey").alias("binary_id"), F.col("n_nationkey").alias("k"), "n_name")
+    entry = F.struct("k", F.struct((F.col("k") * 16).alias("offset"), F.col("n_name").alias("name")).alias("f"))
+    dump = rows.groupBy("binary_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["f"])).alias("output"))
+    return dumps.function_names(dump).select("binary_id", "name", *_long("offset"))
+
+
+@query("SELECT DISTINCT 'app' AS binary_id, o_custkey AS offset FROM orders")
+def scan_function_offsets(spark, sf_dir):
+    dump = V.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 16).alias("part")).agg(F.to_json(F.collect_list("o_custkey")).alias("output"))
+    return dumps.function_offsets(dump.withColumn("binary_id", F.lit("app"))).select("binary_id", *_long("offset"))
+
+
+@query("SELECT 'app' || n_nationkey AS binary_id, 'x86' AS arch, CASE WHEN n_nationkey % 2 = 0 THEN 32 ELSE 64 END AS bits FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'app' || n_nationkey, 'avr', 8 FROM nation WHERE n_nationkey % 3 = 1")
+def scan_architectures(spark, sf_dir):
+    k = F.col("n_nationkey")
+    info = F.struct(F.element_at(F.array(F.lit("x86"), F.lit("avr"), F.lit("tricore")), (k % 3 + 1).cast("int")).alias("arch"), F.when(k % 2 == 0, 32).otherwise(64).alias("bits"))
+    rows = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("app"), k).alias("binary_id"), F.to_json(F.struct(info.alias("bin"))).alias("output"))
+    return dumps.architectures(rows)
+
+
+_STATEMENTS_SQL = """
+    ev AS (SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos FROM events QUALIFY pos < 24),
+    st AS (SELECT user_id, pos, pos * 4 AS off, event_type,
+                  CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(event_id % 40 * 4 AS INTEGER) END AS target,
+                  CASE event_type WHEN 'purchase' THEN 'cond' WHEN 'signup' THEN 'jump' WHEN 'error' THEN 'ret' ELSE 'none' END AS kind,
+                  max(pos) OVER (PARTITION BY user_id) * 4 AS high
+           FROM ev),
+    ld AS (SELECT user_id, off FROM (SELECT user_id, off, lag(kind) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM st) WHERE b IS NULL OR b <> 'none'
+           UNION SELECT user_id, target FROM st WHERE target BETWEEN 0 AND high),
+    bl AS (SELECT l.user_id, l.off, lead(l.off) OVER (PARTITION BY l.user_id ORDER BY l.off) AS nxt, e.fn_end
+           FROM ld l JOIN (SELECT user_id, max(off) + 4 AS fn_end FROM st GROUP BY 1) e ON l.user_id = e.user_id),
+    jb AS (SELECT s.*, b.off AS block, b.nxt FROM st s JOIN bl b ON s.user_id = b.user_id AND s.off >= b.off AND (b.nxt IS NULL OR s.off < b.nxt) WHERE kind <> 'none'),
+    ed AS (SELECT user_id, off AS src, nxt AS dst FROM bl b WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jb WHERE jb.user_id = b.user_id AND jb.block = b.off)
+           UNION SELECT user_id, block, target FROM jb WHERE target BETWEEN 0 AND high
+           UNION SELECT user_id, block, nxt FROM jb WHERE kind = 'cond' AND target BETWEEN 0 AND high AND nxt IS NOT NULL)
+"""
+
+
+def _event_parts(spark, sf_dir):
+    jumped = cfg.jumps(V.event_statements(spark, sf_dir), F.lit("x86"))
+    block = cfg.bare_blocks(cfg.leaders(jumped), V.event_ends(spark, sf_dir))
+    return jumped, block
+
+
+def _statement_dump(spark, sf_dir):
+    """Event-made functions as the JSON of a disassembler."""
+    op = F.struct("pos", F.struct("offset", F.col("family").alias("type"), F.upper("instruction").alias("opcode")).alias("op"))
+    rows = V.event_statements(spark, sf_dir).groupBy("binary_id", "function_id").agg(F.transform(F.sort_array(F.collect_list(op)), lambda x: x["op"]).alias("ops"))
+    return rows.select("binary_id", "function_id", F.to_json(F.struct("ops")).alias("output"), F.to_json("ops").alias("block_output"))
+
+
+_BODY_SQL = f"""
+    WITH {_STATEMENTS_SQL}
+    SELECT user_id, pos, CAST(off AS BIGINT) AS "offset",
+           CASE kind WHEN 'cond' THEN 'cjmp' WHEN 'jump' THEN 'jmp' WHEN 'ret' THEN 'ret' ELSE CASE event_type WHEN 'click' THEN 'mov' ELSE 'cmp' END END AS family,
+           CASE event_type WHEN 'click' THEN 'mov eax, 1' WHEN 'error' THEN 'ret' WHEN 'purchase' THEN 'je 0x' || printf('%x', target) WHEN 'signup' THEN 'jmp 0x' || printf('%x', target) ELSE 'cmp eax, 2' END AS instruction
+    FROM st
+"""
+
+
+@query(_BODY_SQL)
+def scan_function_bodies(spark, sf_dir):
+    return _user(dumps.function_bodies(_statement_dump(spark, sf_dir)), "pos", *_long("offset"), "family", "instruction")
+
+
+@query(_BODY_SQL)
+def scan_block_bodies(spark, sf_dir):
+    return _user(dumps.block_bodies(_statement_dump(spark, sf_dir), "block_output"), "pos", *_long("offset"), "family", "instruction")
+
+
+@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(off AS BIGINT) AS \"offset\" FROM ld")
+def cfg_leaders(spark, sf_dir):
+    return _user(cfg.leaders(cfg.jumps(V.event_statements(spark, sf_dir), F.lit("x86"))), *_long("offset"))
+
+
+@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(off AS BIGINT) AS \"offset\", CAST(coalesce(nxt, fn_end) - off AS BIGINT) AS length FROM bl")
+def cfg_blocks(spark, sf_dir):
+    return _user(_event_parts(spark, sf_dir)[1], *_long("offset", "length"))
+
+
+@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+def cfg_edges(spark, sf_dir):
+    nodes, edges = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    return _user(edges, *_long("src", "dst"), "pos")
+
+
+@query(f"""
+    WITH {_STATEMENTS_SQL}
+    SELECT user_id, CAST(coalesce(min(CASE WHEN NOT led THEN off END), min(off)) AS BIGINT) AS root
+    FROM (SELECT b.user_id, b.off, EXISTS (SELECT 1 FROM ed WHERE ed.user_id = b.user_id AND ed.dst = b.off) AS led FROM bl b) GROUP BY 1
+""")
+def cfg_root(spark, sf_dir):
+    nodes, _ = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    return _user(nodes.filter("is_root"), F.col("offset").cast("long").alias("root"))
+
+
+@query(f"""
+    WITH {_STATEMENTS_SQL},
+    o AS (SELECT user_id, src, dst, row_number() OVER (PARTITION BY user_id, src ORDER BY dst) AS k FROM ed)
+    SELECT user_id, CAST(src AS BIGINT) AS src, CAST(max(CASE WHEN k = 1 THEN dst END) AS BIGINT) AS next, CAST(max(CASE WHEN k = 2 THEN dst END) AS BIGINT) AS cond FROM o GROUP BY 1, 2
+""")
+def cfg_next_cond(spark, sf_dir):
+    _, edges = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    after = cfg.successor(edges, 0).withColumnRenamed("dst", "next")
+    taken = cfg.successor(edges, 1).withColumnRenamed("dst", "cond")
+    return _user(after.join(taken, [*cfg.KEY, "src"], "left"), *_long("src", "next", "cond"))
+
+
+@query(f"""
+    WITH {_STATEMENTS_SQL},
+    leaf AS (SELECT user_id, off FROM bl WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.user_id = bl.user_id AND ed.src = bl.off))
+    SELECT user_id, CAST(off AS BIGINT) AS leaf FROM leaf WHERE user_id IN (SELECT user_id FROM leaf GROUP BY 1 HAVING count(*) > 1)
+""")
+def cfg_sink(spark, sf_dir):
+    """Blocks that lead to an added sink."""
+    graphs = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    _, edges = cfg.add_sink(*graphs)
+    return _user(edges.filter(F.col("dst") == B.address(2**64 - 1)), F.col("src").cast("long").alias("leaf"))
+
+
+@query("""
+    WITH ev AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events QUALIFY pos <= 12),
+    tr AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM ev),
+    rt AS (SELECT user_id, event_type FROM ev WHERE pos = 1)
+    SELECT r.user_id, CAST(CASE r.event_type WHEN 'click' THEN 16 WHEN 'error' THEN 32 WHEN 'purchase' THEN 48 WHEN 'signup' THEN 64 ELSE 80 END AS BIGINT) AS root
+    FROM rt r WHERE EXISTS (SELECT 1 FROM tr WHERE tr.user_id = r.user_id AND tr.nxt = r.event_type)
+""")
+def cfg_entry(spark, sf_dir):
+    """Roots that get an entry point of their own."""
+    nodes, edges = cfg.add_entry_point(*_transitions(spark, sf_dir))
+    entry = nodes.filter(B.is_entry_point(F.col("offset"), F.col("length")) & F.col("is_root")).select(*cfg.KEY)
+    return _user(edges.filter("src = 0").join(entry, cfg.KEY, "left_semi"), F.col("dst").cast("long").alias("root"))
+
+
+# -- graphs of transitions
+
+_GRAPH_SQL = """
+    ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
+                  CAST(CASE event_type WHEN 'click' THEN 16 WHEN 'error' THEN 32 WHEN 'purchase' THEN 48 WHEN 'signup' THEN 64 ELSE 80 END AS BIGINT) AS off
+           FROM events QUALIFY pos <= 12),
+    nd AS (SELECT DISTINCT user_id, off FROM ev),
+    ed AS (SELECT DISTINCT user_id, off AS src, nxt AS dst FROM (SELECT *, lead(off) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM ev) WHERE nxt IS NOT NULL),
+    rt AS (SELECT user_id, off FROM ev WHERE pos = 1)
+"""
+
+_CLOSURE_SQL = f"""
+    WITH RECURSIVE {_GRAPH_SQL},
+    cl(user_id, a, b) AS (SELECT user_id, off, off FROM nd UNION SELECT cl.user_id, cl.a, ed.dst FROM cl JOIN ed ON ed.user_id = cl.user_id AND ed.src = cl.b),
+    sc AS (SELECT x.user_id, x.a AS off, min(x.b) AS scc, count(*) > 1 AS is_loop FROM cl x JOIN cl y ON x.user_id = y.user_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2)
+"""
+
+
+def _transitions(spark, sf_dir):
+    return cfg.from_bare(*V.transition_graphs(spark, sf_dir))
+
+
+def _named_components(seen: DataFrame) -> DataFrame:
+    """A component goes by its least node, as its number depends on the visit."""
+    least = F.min("offset").over(Window.partitionBy(*cfg.KEY, "scc"))
+    return seen.withColumn("scc", least)
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+def cfg_from_bare(spark, sf_dir):
+    return _user(_transitions(spark, sf_dir)[1], *_long("src", "dst"), "pos")
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM ed GROUP BY 1, 2")
+def graph_neighbours(spark, sf_dir):
+    rows = graph.neighbours(_transitions(spark, sf_dir)[1])
+    return _user(rows, *_long("src"), F.concat_ws(",", F.transform("neighbours", lambda x: x.cast("string"))).alias("neighbours"))
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT user_id, count(*) AS n_nodes FROM nd GROUP BY 1")
+def graph_len(spark, sf_dir):
+    return _user(graph.sizes(_transitions(spark, sf_dir)[0]), "n_nodes")
+
+
+@query(f'WITH {_GRAPH_SQL} SELECT n.user_id, n.off AS "offset", e.src AS pred FROM nd n LEFT JOIN ed e ON e.user_id = n.user_id AND e.dst = n.off')
+def graph_preds(spark, sf_dir):
+    """All nodes can be reached here: they lie on the path of a user's events."""
+    nodes, edges = _transitions(spark, sf_dir)
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
+    return _user(graph.predecessors(nodes, edges, graph.levels(nodes, edges)), *_long("offset", "pred"))
+
+
+@query(f"""
+    WITH RECURSIVE {_GRAPH_SQL},
+    bf(user_id, off, level) AS (SELECT user_id, off, 0 FROM rt UNION SELECT bf.user_id, ed.dst, bf.level + 1 FROM bf JOIN ed ON ed.user_id = bf.user_id AND ed.src = bf.off WHERE bf.level < 6)
+    SELECT user_id, off AS "offset", CAST(min(level) AS INTEGER) AS level FROM bf GROUP BY 1, 2
+""")
+def graph_bfs_level(spark, sf_dir):
+    return _user(graph.levels(*_transitions(spark, sf_dir)), *_long("offset"), F.col("level").cast("int"))
+
+
+@query(f"{_CLOSURE_SQL} SELECT rt.user_id, cl.b AS \"offset\" FROM rt JOIN cl ON cl.user_id = rt.user_id AND cl.a = rt.off")
+def graph_reachable(spark, sf_dir):
+    return _user(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"))
+
+
+@query(f"{_CLOSURE_SQL} SELECT user_id, off AS \"offset\", scc FROM sc")
+def graph_scc(spark, sf_dir):
+    return _user(_named_components(graph.visits(*_transitions(spark, sf_dir))), *_long("offset", "scc"))
+
+
+@query(f"{_CLOSURE_SQL} SELECT user_id, off AS \"offset\", is_loop FROM sc")
+def graph_loops(spark, sf_dir):
+    return _user(graph.loops(graph.visits(*_transitions(spark, sf_dir)).select(*cfg.KEY, "offset", "scc")), *_long("offset"), "is_loop")
+
+
+@query(f"""
+    {_CLOSURE_SQL}
+    SELECT DISTINCT ed.user_id, s.scc, ed.src AS exit, ed.dst AS target
+    FROM ed JOIN sc s ON s.user_id = ed.user_id AND s.off = ed.src JOIN sc d ON d.user_id = ed.user_id AND d.off = ed.dst WHERE s.scc <> d.scc
+""")
+def loop_exits(spark, sf_dir):
+    nodes, edges = _transitions(spark, sf_dir)
+    found = _named_components(graph.visits(nodes, edges)).select(*cfg.KEY, "offset", "scc")
+    return _user(graph.loop_exits(edges, written(found, "components")), *_long("scc", "exit", "target"))
+
+
+@query(f"""
+    WITH {_GRAPH_SQL}
+    SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed WHERE src <> dst
+""")
+def remove_self_edges(spark, sf_dir):
+    _, edges = _transitions(spark, sf_dir)
+    return _user(graph.remove_edges(edges, edges.filter("src = dst").select(*cfg.KEY, "src", "dst")), *_long("src", "dst"), "pos")
+
+
+@query()
+def graph_visits(spark, sf_dir):
+    """Orders of visits; tests hold them against worked examples."""
+    return _user(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"), "bfs", "level", "pre", "post", "depth")
+
+
+# -- text formats
+
+
+def _edge_text(spark, sf_dir):
+    hexa = lambda c: F.concat(F.lit('"0x'), F.lower(F.hex(F.col(c).cast("long"))), F.lit('"'))
+    line = F.concat(hexa("src"), F.lit(" -> "), hexa("dst"), F.lit(' [color="#13a10e"];'))
+    return _transitions(spark, sf_dir)[1].groupBy(*cfg.KEY).agg(F.concat_ws("\n", F.lit("digraph code {"), F.concat_ws("\n", F.collect_list(line)), F.lit("}")).alias("output"))
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst FROM ed")
+def edges_from_dot(spark, sf_dir):
+    return _user(dumps.text_edges(_edge_text(spark, sf_dir)), *_long("src", "dst"))
+
+
+@query(f'WITH {_GRAPH_SQL} SELECT user_id, off AS "offset", CAST(16 AS BIGINT) AS length FROM nd')
+def blocks_from_text(spark, sf_dir):
+    nodes, _ = _transitions(spark, sf_dir)
+    line = F.concat(F.lit("0x"), F.lower(F.hex(F.col("offset").cast("long"))), F.lit(" 0x20 00:0000 "), F.col("length").cast("string"), F.lit(" j 0x30"))
+    text = nodes.groupBy(*cfg.KEY).agg(F.concat_ws("\r\n", F.collect_list(line)).alias("output"))
+    return _user(dumps.text_blocks(text), *_long("offset", "length"))
+
+
+@query(f"""
+    WITH {_GRAPH_SQL},
+    o AS (SELECT user_id, src, dst, row_number() OVER (PARTITION BY user_id, src ORDER BY dst) AS k, count(*) OVER (PARTITION BY user_id, src) AS n FROM ed),
+    es AS (SELECT user_id, string_agg(src || '->' || dst || '[color="' || CASE WHEN n <> 2 THEN 'dodgerblue' WHEN k = 1 THEN 'crimson' ELSE 'forestgreen' END || '"];', chr(10) ORDER BY src, k) AS t FROM o GROUP BY 1),
+    ns AS (SELECT nd.user_id, string_agg(nd.off || '[comment="(' || nd.off || ',16)"' || CASE WHEN nd.off = rt.off THEN ',shape="rect"' ELSE '' END || '];', chr(10) ORDER BY nd.off) AS t FROM nd JOIN rt ON rt.user_id = nd.user_id GROUP BY 1)
+    SELECT ns.user_id, 'digraph{{' || chr(10) || 'graph[bgcolor=azure,fontsize=8,splines="ortho"];' || chr(10) || 'node[fillcolor=gray,style=filled,shape=box];' || chr(10) || 'edge[arrowhead=normal];' || chr(10) || chr(10)
+           || ns.t || chr(10) || coalesce(es.t, '') || chr(10) || '}}' || chr(10) AS dot
+    FROM ns LEFT JOIN es ON es.user_id = ns.user_id
+""")
+def dot_export(spark, sf_dir):
+    return _user(cfg.to_dot(*_transitions(spark, sf_dir)), "dot")
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+def dot_round_trip(spark, sf_dir):
+    dots = written(cfg.to_dot(*_transitions(spark, sf_dir)), "dots")
+    return _user(dot_source.parse(dots)[1], *_long("src", "dst"), "pos")
+
+
+@query()
+def generic_dot(spark, sf_dir):
+    return _user(graph.to_dot(*_transitions(spark, sf_dir)), "dot")
+
+
+# -- vectors
+
+_EVENT_COUNTS = "c AS (SELECT user_id, event_type AS op, count(*) AS n FROM events GROUP BY 1, 2), nr AS (SELECT user_id, sum(n * n) AS norm2 FROM c GROUP BY 1)"
+_EVENT_PAIRS = f"""
+    {_EVENT_COUNTS},
+    pr AS (SELECT x.user_id AS a, y.user_id AS b, CAST(sum(x.n * y.n) AS BIGINT) / (sqrt(CAST(any_value(p.norm2) AS DOUBLE)) * sqrt(CAST(any_value(q.norm2) AS DOUBLE))) AS sim
+           FROM c x JOIN c y ON x.op = y.op JOIN nr p ON p.user_id = x.user_id JOIN nr q ON q.user_id = y.user_id GROUP BY 1, 2)
+"""
+
+
+def _event_counts(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "events").select(F.lit("events").alias("binary_id"), F.col("user_id").cast("string").alias("function_id"), "event_type")
+    return vectors.opcode_counts(rows, F.col("event_type"))
+
+
+@query("SELECT user_id, event_type AS opcode, count(*) AS n, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY user_id) AS frequency FROM events GROUP BY 1, 2")
+def opcode_freq(spark, sf_dir):
+    return _user(_event_counts(spark, sf_dir), "opcode", "n", "frequency")
+
+
+@query("SELECT l_orderkey, l_returnflag || l_linestatus AS opcode, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def opcode_freq_lineitem(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("op"))
+    return vectors.opcode_counts(rows, F.col("op"), ["l_orderkey"]).select("l_orderkey", "opcode", "n")
+
+
+@query("""
+    SELECT l_orderkey, CAST(sum(n * n) AS BIGINT) AS norm2, count(*) AS n_opcodes, CAST(sum(n) AS BIGINT) AS total
+    FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS op, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1
+""")
+def fvec_norms(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("op"))
+    return vectors.norms(vectors.opcode_counts(rows, F.col("op"), ["l_orderkey"]), ["l_orderkey"])
+
+
+@query(f"WITH {_EVENT_PAIRS} SELECT a, b, round(sim, 9) AS similarity FROM pr WHERE a < b AND sim > 0.99")
+def cosine_pairs(spark, sf_dir):
+    vecs = written(vectors.vectors(_event_counts(spark, sf_dir)), "vectors")
+    distinct = written(vectors.distinct_vectors(vecs), "distinct")
+    found = vectors.similar_vectors(distinct, 0.99)
+    own = distinct.select(F.col("vid").alias("a"), F.col("vid").alias("b"), vectors.cosine(F.col("vec"), F.col("vec"), F.col("norm2"), F.col("norm2")).alias("similarity"))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(own)
+    user = vecs.select("vid", F.col("function_id").cast("long").alias("user"))
+    rows = both.join(user.select(F.col("vid").alias("a"), F.col("user").alias("ua")), "a").join(user.select(F.col("vid").alias("b"), F.col("user").alias("ub")), "b")
+    return rows.filter("ua < ub").select(F.col("ua").alias("a"), F.col("ub").alias("b"), F.round("similarity", 9).alias("similarity"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+    n AS (SELECT vec_id, label, sum(CAST(x AS DOUBLE) * x) AS norm2 FROM e GROUP BY 1, 2),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(CAST(a.x AS DOUBLE) * b.x) AS dot FROM e a JOIN e b ON a.label = b.label AND a.k = b.k AND a.vec_id < b.vec_id GROUP BY 1, 2)
+    SELECT a, b, round(dot / (sqrt(x.norm2) * sqrt(y.norm2)), 6) AS similarity FROM p JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b WHERE dot / (sqrt(x.norm2) * sqrt(y.norm2)) > 0.25
+""")
+def dense_cosine_pairs(spark, sf_dir):
+    """Dense vectors, compared inside their labels."""
+    rows = V.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    a = rows.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+    b = rows.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    pairs = a.join(b, "label").filter("a < b").withColumn("similarity", vectors.dense_cosine(F.col("x"), F.col("y")))
+    return pairs.filter("similarity > 0.25").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _as_lists(members: DataFrame, *more: str) -> DataFrame:
+    """Classes as joined lists, for comparison; classes are small here."""
+    listed = F.concat_ws(",", F.sort_array(F.collect_list("function_id")))
+    return members.groupBy("class_key", *more).agg(listed.alias("members"), F.count(F.lit(1)).alias("size")).drop("class_key")
+
+
+@query(f"""
+    WITH {_EVENT_PAIRS},
+    s AS (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY CAST(b AS VARCHAR)) AS members, count(*) AS size FROM pr WHERE sim > 0.99 GROUP BY 1)
+    SELECT DISTINCT members, size FROM s WHERE size > 1
+""")
+def semantic_classes(spark, sf_dir):
+    return _as_lists(semantic.semantic_members(vectors.vectors(_event_counts(spark, sf_dir))))
+
+
+@query("SELECT source, count(DISTINCT lang) > 1 AS differ FROM documents GROUP BY 1")
+def arch_homogeneity(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "documents").groupBy("source")
+    return rows.agg((F.countDistinct("lang") > 1).alias("differ"))
+
+
+# -- structural and combined classes
+
+_TREES = """
+    t AS (SELECT '[x86_' || CASE WHEN o_custkey % 2 = 0 THEN '32' ELSE '64' END || ']shop' AS binary_id, CAST(o_custkey AS VARCHAR) AS function_id, o_custkey, o_orderkey AS node_id,
+                 o_orderkey % 4 + 1 AS depth, o_orderstatus || '|' || (o_custkey % 40) AS k, o_orderpriority AS p FROM orders),
+    d AS (SELECT * FROM t WHERE depth >= 2)
+"""
+
+
+@query(f"""
+    WITH {_TREES}
+    SELECT string_agg(function_id, ',' ORDER BY function_id) AS members, count(*) AS size, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
+    FROM d GROUP BY k HAVING count(*) > 1
+""")
+def structural_classes(spark, sf_dir):
+    return _as_lists(structural.structural_members(V.order_trees(spark, sf_dir), 2), "class_depth")
+
+
+@query(f"""
+    WITH {_TREES}
+    SELECT string_agg(function_id, ',' ORDER BY function_id) AS members, count(*) AS size, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
+    FROM d GROUP BY k, p HAVING count(*) > 1
+""")
+def strict_structural_classes(spark, sf_dir):
+    return _as_lists(structural.structural_members(V.order_trees(spark, sf_dir), 2, strict=True), "class_depth")
+
+
+def _depth_classes(spark, sf_dir):
+    """Classes that differ in depth but hold the same functions."""
+    tree = V.order_trees(spark, sf_dir)
+    by = tree.select("binary_id", "function_id", F.concat_ws("/", "function_id", F.col("depth").cast("string")).alias("class_key"), F.col("depth").alias("class_depth"), "node_id", "basic_blocks")
+    return by
+
+
+_DEPTHS = """
+    c AS (SELECT o_custkey, o_orderkey % 4 + 1 AS depth, count(*) AS size FROM orders GROUP BY 1, 2),
+    f AS (SELECT o_custkey, size, CAST(max(depth) AS INTEGER) AS class_depth FROM c GROUP BY 1, 2)
+"""
+
+
+@query(f"WITH {_DEPTHS} SELECT CAST(o_custkey AS VARCHAR) AS function_id, size, class_depth FROM f")
+def filtered_classes(spark, sf_dir):
+    kept = results.deepest_only(_depth_classes(spark, sf_dir))
+    return kept.groupBy("class_key", "function_id", "class_depth").agg(F.count(F.lit(1)).alias("size")).drop("class_key")
+
+
+@query(f"""
+    WITH {_DEPTHS}
+    SELECT row_number() OVER (ORDER BY size DESC, '[x86_' || CASE WHEN o_custkey % 2 = 0 THEN '32' ELSE '64' END, CAST(o_custkey AS VARCHAR), class_depth) - 1 AS clone_class_id,
+           CAST(o_custkey AS VARCHAR) AS function_id, size, class_depth FROM f
+""")
+def sorted_classes(spark, sf_dir):
+    rows = results.ranked(results.deepest_only(_depth_classes(spark, sf_dir)), "size-desc")
+    return rows.select("clone_class_id", "function_id", "size", "class_depth").distinct()
+
+
+@query(f"""
+    WITH {_DEPTHS},
+    n AS (SELECT *, row_number() OVER (ORDER BY class_depth, '[x86_' || CASE WHEN o_custkey % 2 = 0 THEN '32' ELSE '64' END, CAST(o_custkey AS VARCHAR), size) - 1 AS clone_class_id FROM f)
+    SELECT 'x86' AS arch, CASE WHEN o.o_custkey % 2 = 0 THEN '32' ELSE '64' END AS bits, 'shop' AS "binary", CAST(o.o_custkey AS VARCHAR) AS "function", clone_class_id, class_depth, '0x' || printf('%x', o_orderkey) AS basic_blocks
+    FROM n JOIN orders o ON o.o_custkey = n.o_custkey AND o.o_orderkey % 4 + 1 = n.class_depth
+""")
+def class_report_csv(spark, sf_dir):
+    return results.csv_rows(results.ranked(results.deepest_only(_depth_classes(spark, sf_dir)), "depth-asc"), basic_blocks=True)
+
+
+@query(f"WITH {_DEPTHS} SELECT count(*) AS classes, CAST(sum(size) AS BIGINT) AS clones FROM f")
+def class_summary(spark, sf_dir):
+    return results.summary(results.deepest_only(_depth_classes(spark, sf_dir)))
+
+
+@query(f"""
+    WITH {_TREES},
+    v AS (SELECT o_custkey, l_returnflag || l_linestatus AS op, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+    nr AS (SELECT o_custkey, sum(n * n) AS norm2 FROM v GROUP BY 1),
+    m AS (SELECT DISTINCT k, o_custkey FROM d WHERE k IN (SELECT k FROM d GROUP BY k HAVING count(*) > 1)),
+    pr AS (SELECT x.k, x.o_custkey AS a, y.o_custkey AS b FROM m x JOIN m y ON x.k = y.k),
+    pd AS (SELECT DISTINCT a, b FROM pr),
+    sm AS (SELECT a, b FROM pd JOIN v x ON x.o_custkey = a JOIN v y ON y.o_custkey = b AND x.op = y.op JOIN nr p ON p.o_custkey = a JOIN nr q ON q.o_custkey = b
+           GROUP BY 1, 2 HAVING CAST(sum(x.n * y.n) AS BIGINT) / (sqrt(CAST(any_value(p.norm2) AS DOUBLE)) * sqrt(CAST(any_value(q.norm2) AS DOUBLE))) > 0.97),
+    g AS (SELECT pr.k, pr.a, string_agg(d.function_id || '.' || d.node_id, ',' ORDER BY d.function_id || '.' || d.node_id) AS members, count(*) AS size
+          FROM pr JOIN sm USING (a, b) JOIN d ON d.k = pr.k AND d.o_custkey = pr.b GROUP BY 1, 2)
+    SELECT DISTINCT k AS struct_key, members, size FROM g WHERE size > 1
+""")
+def combined_classes(spark, sf_dir):
+    tree = V.order_trees(spark, sf_dir)
+    members = structural.structural_members(tree, 2)
+    vecs = vectors.vectors(vectors.opcode_counts(V.customer_opcodes(spark, sf_dir), F.col("opcode")))
+    found = combined.combined_members(members, vecs, 0.97).join(tree.select("binary_id", "function_id", "node_id", "struct_key"), structural.MEMBER)
+    name = F.concat_ws(".", "function_id", F.col("node_id").cast("string"))
+    rows = found.groupBy("class_key", "struct_key").agg(F.concat_ws(",", F.sort_array(F.collect_list(name))).alias("members"), F.count(F.lit(1)).alias("size"))
+    return rows.drop("class_key")
+
+
+@query()
+def cfs_reduce(spark, sf_dir):
+    """Trees of the event-made functions, held against worked examples."""
+    graphs = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    reduced = structure.reduce_functions(*graphs)
+    tree = F.try_element_at("tree", F.lit(-1))
+    return _user(reduced, "reduced", "residual_nodes", tree["block_type"].alias("root_type"), tree["depth"].alias("depth"), tree["struct_key"].alias("struct_key"))
+
+
+@query()
+def cfs_tree_nodes(spark, sf_dir):
+    reduced = structure.reduce_functions(*_transitions(spark, sf_dir))
+    rows = structure.tree_nodes(reduced)
+    return _user(rows, "node_id", "parent_id", "child_pos", "block_type", "depth", *_long("offset"), B.block_list(F.col("basic_blocks")).alias("basic_blocks"))
+
+
+@query()
+def cfs_dot(spark, sf_dir):
+    graphs = _transitions(spark, sf_dir)
+    reduced = written(structure.reduce_functions(*graphs, drawn=True), "reduced")
+    clustered = structure.clustered_dot(reduced, cfg.to_dot(*graphs))
+    return _user(clustered.join(structure.tree_dot(reduced).withColumnRenamed("dot", "tree_dot"), cfg.KEY), "dot", "tree_dot")
+
+
+@query()
+def page_classes(spark, sf_dir):
+    """Structural classes of page trees."""
+    nodes = pages.tag_nodes(V.table(spark, sf_dir, "pages"))
+    tree = nodes.select(F.lit("pages").alias("binary_id"), F.col("page_id").cast("string").alias("function_id"), "node_id", "depth", "struct_key", "strict_key", F.lit(None).cast("string").alias("basic_blocks"))
+    members = structural.structural_members(tree, 3)
+    return members.groupBy("class_key", "class_depth").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("function_id").alias("pages"))
+
+
+def event_corpus(spark, sf_dir) -> Corpus:
+    statements = V.event_statements(spark, sf_dir)
+    nodes, edges = cfg.from_statements(statements, V.event_ends(spark, sf_dir), F.lit("x86"))
+    binaries = spark.createDataFrame([("events", "/bin/events", "x86", 64)], "binary_id string, path string, arch string, bits int")
+    roots = nodes.filter("is_root").select(*cfg.KEY, F.col("offset").alias("root"))
+    return Corpus(binaries, statements, nodes.select(*cfg.KEY, "offset", "length"), edges.select(*cfg.KEY, "src", "dst"), roots)
+
+
+def _detected(spark, sf_dir, mode):
+    rows = detect_clones(event_corpus(spark, sf_dir), mode, min_depth=2, min_similarity=0.9, sort="size-desc")
+    return rows.select("clone_class_id", "class_depth", "size", "binary_id", "function_id")
+
+
+@query()
+def detect_combined(spark, sf_dir):
+    return _detected(spark, sf_dir, "combined")
+
+
+@query()
+def detect_structural(spark, sf_dir):
+    return _detected(spark, sf_dir, "structural")
+
+
+@query()
+def detect_semantic(spark, sf_dir):
+    return _detected(spark, sf_dir, "semantic")
