@@ -13,7 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ import pyarrow as pa
 #: Characters of text encoded in one step; a longer text forms a step alone.
 STEP_CHARS = 1 << 20
 
-#: Chunks whose ids a worker keeps; the older half goes when there are more.
+#: Chunks whose ids a worker keeps, besides those of a step; the older half
+#: goes when there are more.
 MOST_CHUNKS = 800_000
 
 #: Chunks joined for one call of the tokenizer.
@@ -38,6 +39,20 @@ _RUN = re.compile(r"\s[ \n](?:\s|$)|\0")
 # digit, with which they could form one piece.
 _JOINED_STOP = re.compile("[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
 
+# What is one piece for sure, and needs no cutting by the pattern.
+_PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,]")
+
+# Bytes that a first look at a text goes by.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# Leading bytes of other white space, and of what has no plain letters.
+_RARE = np.zeros(256, bool)
+_RARE[[0, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -45,22 +60,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def chunks(text: str) -> list[str] | None:
+def byte_letters() -> dict[int, str]:
+    """How byte-level BPE writes bytes: printable ones as themselves, the rest
+    in order as the code points from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def doubtful(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text whether it may have a run that can't be cut, and whether
+    it may have a stop or comma that can't; both are certain if false."""
+    if not len(data):
+        none = np.zeros(len(bounds) - 1, bool)
+        return none, none
+    white = _WHITE[data]
+    run = np.zeros(len(data) + 1, bool)
+    run[1:-1] = white[1:] & white[:-1]
+    run[:-1] |= _RARE[data]
+    stop = np.flatnonzero(_STOP[data])
+    before = data[np.maximum(stop - 1, 0)]
+    letter = _PLAIN[before] & (stop > 0)
+    # two-byte Latin letters; the signs for times and divided by aren't letters
+    lead = data[np.maximum(stop - 2, 0)]
+    accented = (before >= 0x80) & (lead >= 0xC3) & (lead <= 0xC9) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    joined = stop[~(letter | accented)]
+
+    def any_in(places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(places, bounds[1:]) > np.searchsorted(places, bounds[:-1])
+
+    return any_in(np.flatnonzero(run[:-1])), any_in(joined)
+
+
+def chunks(text: str, run: bool = True, joined_stop: bool = True) -> list[str] | None:
     """Chunks of a text that byte-level BPE encodes on their own, or None.
 
     A piece holds white space at its start only, unless it is a run of it. So
     there is a cut before each space or line break that follows something else,
     and before the last of a run. A letter or digit never shares a piece with
-    a stop or comma after it.
+    a stop or comma after it. The flags tell whether to look for exceptions.
     """
-    if _RUN.search(text):
+    if run and _RUN.search(text):
         return None
     marked = text.replace(" ", "\0 ").replace("\n", "\0\n")
-    if not _JOINED_STOP.search(text):
+    if not (joined_stop and _JOINED_STOP.search(text)):
         marked = marked.replace(".", "\0.").replace(",", "\0,")
     return marked.split("\0")
 
 
+class Known(dict):
+    """Numbers of chunks; a new one gets the next number and is noted."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class Tokens:
     """A tokenizer with the ids of the chunks that it has met."""
 
@@ -78,10 +138,11 @@ class Tokens:
             # here the special token is one, and parts chunks from each other
             self.parting = Tokenizer.from_file(path)
             self.part, self.part_id = special[0]["content"], special[0]["id"]
+            self.letters = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Known()
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -90,46 +151,56 @@ class Tokens:
         """Forget the older half."""
         old = len(self.known) // 2
         first = int(self.start[old])
-        self.known = {w: k - old for w, k in islice(self.known.items(), old, None)}
+        self.known = Known((w, k - old) for w, k in islice(self.known.items(), old, None))
         self.start, self.length = self.start[old:] - first, self.length[old:]
         self.pool = self.pool[first:]
 
-    def _encoded(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of chunks, one after another, and how many each has."""
-        odd = {k for k, w in enumerate(new) if self.part in w}
-        even = [w for k, w in enumerate(new) if k not in odd] if odd else new
-        joined = [self.part.join(even[k : k + JOINED]) + self.part for k in range(0, len(even), JOINED)]
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one piece, straight from the model."""
+        return [t.id for t in self.plain.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def _joined(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of chunks that don't hold the special token, parted by it."""
+        joined = [self.part.join(parts[k : k + JOINED]) + self.part for k in range(0, len(parts), JOINED)]
         ids = [np.array(e.ids, np.uint32) for e in self.parting.encode_batch_fast(joined, add_special_tokens=False)]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         ends = np.flatnonzero(flat == self.part_id)
-        parts, length = flat[flat != self.part_id], np.diff(ends, prepend=-1) - 1
-        if not odd:
-            return [parts, length]
-        own = iter(np.split(parts, np.cumsum(length)[:-1]) if len(length) else [])
-        lists = [np.array(self.plain.encode(w, add_special_tokens=False).ids, np.uint32) if k in odd else next(own) for k, w in enumerate(new)]
-        return [np.concatenate(lists), np.array([len(x) for x in lists], np.int64)]
+        return [x[:-1] for x in np.split(flat, ends + 1)[:-1]]
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one after another, and how many each has."""
+        lists: list = [self._piece(w) if _PIECE.fullmatch(w) else None for w in new]
+        rest = [k for k, ids in enumerate(lists) if ids is None]
+        plain = [k for k in rest if self.part not in new[k]]
+        for k, ids in zip(plain, self._joined([new[k] for k in plain]), strict=True):
+            lists[k] = ids.tolist()
+        for k in rest:
+            if lists[k] is None:
+                lists[k] = self.plain.encode(new[k], add_special_tokens=False).ids
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(length.sum())), length
 
     def _learn(self, new: list[str]) -> None:
         ids, length = self._encoded(new)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        cut = [chunks(t) for t in texts] if self.cutting else [None] * len(texts)
-        flat = [w for c in cut if c for w in c]
-        new = set(flat).difference(self.known)
-        if new and len(self.known) + len(new) > MOST_CHUNKS:
-            if len(new) > MOST_CHUNKS // 2:
-                self._forget()
-            else:
-                self._shrink()
-            new = set(flat).difference(self.known)
-        if new:
-            self._learn(list(new))
+        cut: list[list[str] | None] = [None] * len(texts)
+        if self.cutting:
+            raw = [t.encode() for t in texts]
+            bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+            flags = doubtful(np.frombuffer(b"".join(raw), np.uint8), bounds)
+            cut = [chunks(t, r, j) for t, r, j in zip(texts, flags[0].tolist(), flags[1].tolist(), strict=True)]
+        flat = list(chain.from_iterable(c for c in cut if c))
+        if len(self.known) > MOST_CHUNKS:
+            self._shrink()
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         length = self.length[at]
         ends = np.cumsum(length)
         place = np.arange(int(ends[-1]) if len(ends) else 0)
