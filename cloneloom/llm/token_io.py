@@ -38,33 +38,47 @@ ESCAPE = (1 << 60) - 1
 _U = np.uint64
 
 
+_WIDTHS = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
-    out = np.zeros(len(values), np.int64)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= _U(1) << _U(step)
-        out[big] += step
-        rest[big] >>= _U(step)
-    return out + (rest > 0)
+    out = _WIDTHS[values & _U(0xFFFF)]
+    for shift in (16, 32, 48):
+        big = values >> _U(shift)
+        if not big.any():
+            break
+        out = np.where(big > 0, _WIDTHS[big & _U(0xFFFF)] + np.uint8(shift), out)
+    return out
 
 
 def _first_fit(bits: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each place the first selector whose word can start there.
 
-    A word holds as many ids as its selector says, all inside the block; the
-    last word of a block may hold fewer, the rest being zeros. A selector of
-    width ``b`` fits if the next wider id lies ``n`` places on or more.
+    A selector of ``n`` ids of ``b`` bits fits where none of the next ``n`` is
+    wider, or none up to the block's end: its last word may hold fewer. Such
+    places form ranges between wider ids; only ranges that are long enough,
+    and those before a block's end, are touched.
     """
     n = len(bits)
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    best = np.full(n, len(SELECTORS) - 1, np.int64)
-    place = np.arange(n)
+    best = np.full(n, len(SELECTORS) - 1, np.uint8)
+    ends = bounds[1:]
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
-        wider = np.where(bits > width, place, n)
-        wider = np.minimum.accumulate(wider[::-1])[::-1]
-        best[np.minimum(wider, end) - place >= np.minimum(count, end - place)] = s
+        wide = np.flatnonzero(bits > width)
+        edges = np.concatenate([[-1], wide, [n]])
+        long = np.flatnonzero(np.diff(edges) > count)
+        low, high = edges[long] + 1, edges[long + 1] - count + 1
+        # the tails of blocks
+        last = edges[np.searchsorted(edges, ends) - 1] + 1
+        tail = np.maximum(last, np.maximum(ends - count + 1, bounds[:-1]))
+        for a, b in zip(tail[tail < ends].tolist(), ends[tail < ends].tolist(), strict=True):
+            best[a:b] = s
+        if len(low):
+            step = np.zeros(n + 1, np.int8)
+            step[low] += 1
+            step[high] -= 1
+            best[np.cumsum(step[:-1], dtype=np.int8) > 0] = s
     return best
 
 
