@@ -202,5 +202,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     marked = docs.withColumn("_h", F.xxhash64(F.col(id_col), text_of(text_col)))
     if not taken.filter("_rows > 1").isEmpty():
         marked = marked.dropDuplicates(["_h"])
-    out = marked.join(taken.filter("_copies > 0").select("_h", "_copies"), "_h")
+    # what is taken grows with the documents, so it isn't for broadcasting
+    out = marked.join(taken.filter("_copies > 0").select("_h", "_copies").hint("merge"), "_h")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

@@ -400,4 +400,5 @@ def one_per_class(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """
     found = near_duplicates(docs, similarity, id_col=id_col, text_col=text_col)
     gone = written(found.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct(), "near_copies")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # near copies grow with the documents, so they aren't for broadcasting
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
