@@ -52,33 +52,57 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_fit(bits: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _runs(bits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of places that need ``width`` bits or fewer,
+    found from the fewer of such places and the others."""
+    narrow = bits <= width
+    if 2 * np.count_nonzero(narrow) < len(bits):
+        at = np.flatnonzero(narrow)
+        if not len(at):
+            return at, at
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        return at[first], at[np.append(first[1:], len(at)) - 1] + 1
+    edges = np.concatenate([[-1], np.flatnonzero(~narrow), [len(bits)]])
+    return edges[:-1] + 1, edges[1:]
+
+
+def _tails(best: np.ndarray, bits: np.ndarray) -> None:
+    """Fit the last words of equally long blocks (rows), which may hold fewer
+    ids than their selectors say."""
+    reach = min(bits.shape[1], SELECTORS[0][0])
+    widest = np.maximum.accumulate(bits[:, : -reach - 1 : -1], axis=1)
+    left = np.arange(1, reach + 1)
+    found = np.full(widest.shape, len(SELECTORS) - 1, np.uint8)
+    for s in range(len(SELECTORS) - 2, -1, -1):
+        count, width = SELECTORS[s]
+        found[(widest <= width) & (left < count)] = s
+    ends = best[:, : -reach - 1 : -1]
+    np.minimum(ends, found, out=ends)
+
+
+def _first_fit(bits: np.ndarray, block: int) -> np.ndarray:
     """For each place the first selector whose word can start there.
 
     A selector of ``n`` ids of ``b`` bits fits where none of the next ``n`` is
-    wider, or none up to the block's end: its last word may hold fewer. Such
-    places form ranges between wider ids; only ranges that are long enough,
-    and those before a block's end, are touched.
+    wider, or none up to the block's end. Such places form ranges; only runs
+    that are long enough, and the tails of blocks, are touched.
     """
     n = len(bits)
     best = np.full(n, len(SELECTORS) - 1, np.uint8)
-    ends = bounds[1:]
     for s in range(len(SELECTORS) - 2, -1, -1):
         count, width = SELECTORS[s]
-        wide = np.flatnonzero(bits > width)
-        edges = np.concatenate([[-1], wide, [n]])
-        long = np.flatnonzero(np.diff(edges) > count)
-        low, high = edges[long] + 1, edges[long + 1] - count + 1
-        # the tails of blocks
-        last = edges[np.searchsorted(edges, ends) - 1] + 1
-        tail = np.maximum(last, np.maximum(ends - count + 1, bounds[:-1]))
-        for a, b in zip(tail[tail < ends].tolist(), ends[tail < ends].tolist(), strict=True):
-            best[a:b] = s
-        if len(low):
+        start, end = _runs(bits, width)
+        long = np.flatnonzero(end - start >= count)
+        if len(long):
             step = np.zeros(n + 1, np.int8)
-            step[low] += 1
-            step[high] -= 1
-            best[np.cumsum(step[:-1], dtype=np.int8) > 0] = s
+            step[start[long]] += 1
+            step[end[long] - count + 1] -= 1
+            best[np.cumsum(step[:-1], dtype=np.int8).view(bool)] = s
+    whole = n // block * block
+    if whole:
+        _tails(best[:whole].reshape(-1, block), bits[:whole].reshape(-1, block))
+    if n > whole:
+        _tails(best[None, whole:], bits[None, whole:])
     return best
 
 
@@ -95,7 +119,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     bounds = np.append(np.arange(0, len(small), block), len(small))
     if len(bounds) < 2:
         return np.zeros(0, _U), np.zeros(0, np.int64), escapes
-    selector = _first_fit(_bits(small), bounds)
+    selector = _first_fit(_bits(small), block)
     sizes = np.array([s[0] for s in SELECTORS])
     at, end = bounds[:-1].copy(), bounds[1:]
     starts, open_ = np.zeros(len(small), bool), np.arange(len(at))
@@ -107,13 +131,19 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     chosen = selector[start]
     words = chosen.astype(_U) << _U(60)
     stop = np.append(start[1:], len(small))
+    held = stop - start
     for s, (count, width) in enumerate(SELECTORS):
-        mine = np.flatnonzero(chosen == s)
-        if not width or not len(mine):
+        if not width:
             continue
-        for k in range(count):
-            held = mine[start[mine] + k < stop[mine]]
-            words[held] |= small[start[held] + k] << _U(k * width)
+        mine = np.flatnonzero((chosen == s) & (held >= count))
+        packed, at = np.zeros(len(mine), _U), start[mine]
+        for k in range(count if len(mine) else 0):
+            packed |= small[at + k] << _U(k * width)
+        words[mine] |= packed
+    for w in np.flatnonzero(held < sizes[chosen]):  # last words of blocks
+        width = SELECTORS[chosen[w]][1]
+        for k in range(held[w] if width else 0):
+            words[w] |= small[start[w] + k] << _U(k * width)
     return words, np.searchsorted(start, bounds[:-1]), escapes
 
 
