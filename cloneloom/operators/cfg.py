@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import statements as S
 from ..functions.blocks import address, kind
 from ..model import ADDRESS, ENTRY, FUNCTION_KEY, SINK
+from .common import written
 
 KEY = FUNCTION_KEY
 
@@ -91,10 +92,14 @@ def from_bare(blocks: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[Da
 
 
 def from_statements(statements: DataFrame, ends: DataFrame, arch: Column, outside_targets: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the graphs of statements."""
-    jumped = jumps(statements, arch)
-    blocks = bare_blocks(leaders(jumped, outside_targets), ends)
-    edges = bare_edges(jumped, blocks)
+    """(nodes, edges) of the graphs of statements.
+
+    Jumps, blocks and edges are each read by several of the steps after them,
+    so they are written once instead of being windowed again for each.
+    """
+    jumped = written(jumps(statements, arch).select(*KEY, "pos", "offset", "jump", "target", "inside"), "jumps")
+    blocks = written(bare_blocks(leaders(jumped, outside_targets), ends), "blocks")
+    edges = written(bare_edges(jumped, blocks), "edges")
     return from_bare(blocks, edges, inferred_roots(blocks, edges))
 
 
