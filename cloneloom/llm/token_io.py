@@ -215,9 +215,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     shard, numbered along the order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the ranges are found from the ids alone, without reading a text
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = rows.repartitionByRange(first).sortWithinPartitions(first, F.xxhash64("text"))
     dealt.mapInArrow(_segments(tokenizer or tokens.default_tokenizer(), end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 

@@ -9,10 +9,12 @@ another make get whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
@@ -108,6 +110,19 @@ def chunks(text: str, run: bool = True, joined_stop: bool = True) -> list[str] |
     return marked.split("\0")
 
 
+@contextmanager
+def uncollected():
+    """Nothing here is cyclic, so searching its many small lists for cycles is
+    time lost."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Known(dict):
     """Numbers of chunks; a new one gets the next number and is noted."""
 
@@ -139,6 +154,7 @@ class Tokens:
             self.parting = Tokenizer.from_file(path)
             self.part, self.part_id = special[0]["content"], special[0]["id"]
             self.letters = byte_letters()
+            self.model = self.plain.model
         self._forget()
 
     def _forget(self) -> None:
@@ -157,7 +173,11 @@ class Tokens:
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one piece, straight from the model."""
-        return [t.id for t in self.plain.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        if piece.isascii():  # a space and letters that stand for themselves
+            written = piece.replace(" ", self.letters[32])
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(written)]
 
     def _joined(self, parts: list[str]) -> list[np.ndarray]:
         """Ids of chunks that don't hold the special token, parted by it."""
@@ -186,8 +206,8 @@ class Tokens:
         self.length = np.concatenate([self.length, length])
         self.pool = np.concatenate([self.pool, ids])
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
+    def _cut(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
+        """Chunks of each text or None, ids of all chunks, and their bounds."""
         cut: list[list[str] | None] = [None] * len(texts)
         if self.cutting:
             raw = [t.encode() for t in texts]
@@ -205,7 +225,12 @@ class Tokens:
         ends = np.cumsum(length)
         place = np.arange(int(ends[-1]) if len(ends) else 0)
         ids = self.pool[place + np.repeat(self.start[at] - ends + length, length)]
-        bounds = np.concatenate([[0], ends])
+        return cut, ids, np.concatenate([[0], ends])
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        with uncollected():
+            cut, ids, bounds = self._cut(texts)
         whole = iter(self.plain.encode_batch_fast([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
         first = 0
         for c in cut:
