@@ -44,7 +44,7 @@ SMALL = 64
 #: on the least of their chosen tokens in one of some orders; splitting would
 #: not part them.
 ALIKE = 0.4
-ORDERS = 4
+ORDERS = 2
 
 TILE = 512
 
