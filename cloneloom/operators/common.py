@@ -48,6 +48,27 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(base, "_part").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_base", "_place")
 
 
+#: A group of more than this share of all rows is hot; there are at most
+#: ``1 / HOT_SHARE`` of them, which bounds what is broadcast.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Inner join of rows with one row per group; ``groups`` is a written table
+    with the number of rows of each in ``size``.
+
+    Rows of hot groups stay where they are and meet their group's row by
+    broadcast; all others go through an ordinary join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(1, int(total * HOT_SHARE))
+    hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
+    marked = rows.join(F.broadcast(hot.select(*key).withColumn("_hot", F.lit(True))), key, "left")
+    in_hot = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
+    in_cold = marked.filter("_hot is null").drop("_hot").join(cold, key)
+    return in_hot.unionByName(in_cold)
+
+
 def multiset(*columns: str) -> list[Column]:
     """Aggregates that fingerprint a group's rows whatever their order: their
     number and two sums of hashes. They combine before the shuffle, unlike

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import block_list
 from ..functions.statements import untag
-from .common import MULTISET, multiset, numbered, written
+from .common import MULTISET, join_groups, multiset, numbered, written
 
 SORTS = ("none", "depth-asc", "depth-desc", "size-asc", "size-desc")
 
@@ -45,8 +45,8 @@ def ranked(members: DataFrame, sort: str = "none") -> DataFrame:
     classes = rows.groupBy("class_key").agg(
         F.first("class_depth").alias("class_depth"), F.count(F.lit(1)).alias("size"), F.min(F.struct("binary_id", "function_id")).alias("first_member")
     )
-    numbers = numbered(classes, _order(sort), "clone_class_id").select("class_key", "clone_class_id", "size")
-    return rows.join(numbers, "class_key")
+    numbers = written(numbered(classes, _order(sort), "clone_class_id").select("class_key", "clone_class_id", "size"), "class_numbers")
+    return join_groups(rows, numbers, ["class_key"], "size")
 
 
 def summary(members: DataFrame) -> DataFrame:

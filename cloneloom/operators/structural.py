@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_groups, written
+
 MEMBER = ["binary_id", "function_id", "node_id"]
 
 
@@ -29,10 +31,12 @@ def structural_members(tree: DataFrame, min_depth: int = 3, strict: bool = False
     depth, basic_blocks) of classes of two subtrees or more.
 
     A function can be a member several times. A class's depth is that of its
-    first member. Sizes are counted before the shuffle and joined back, so
-    that a class of very many members isn't gathered in one task.
+    first member. Sizes are counted before the shuffle and joined back, and
+    classes that hold a large share of all rows are joined without moving
+    them, so that no class is gathered in one task. ``tree`` is read twice.
     """
     rows = candidates(tree, min_depth).withColumn("class_key", structural_key(strict))
     rows = rows.select("class_key", *MEMBER, "depth", "basic_blocks")
     sizes = rows.groupBy("class_key").agg(F.count(F.lit(1)).alias("size"), F.min_by("depth", F.struct(*MEMBER)).alias("class_depth"))
-    return rows.join(sizes.filter("size > 1").select("class_key", "class_depth"), "class_key")
+    several = written(sizes.filter("size > 1"), "class_sizes")
+    return join_groups(rows, several, ["class_key"], "size").drop("size")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reduction
 from ..model import ADDRESS, FUNCTION_KEY, SINK
-from .graph import as_arrays, per_function
+from .graph import as_arrays
 
 KEY = FUNCTION_KEY
 
