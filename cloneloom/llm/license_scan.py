@@ -101,7 +101,6 @@ class Catalog:
             index = self.by_size.setdefault(size, {})
             for key in self.keys(self.minima(own)[:, None])[:, 0].tolist():
                 index.setdefault(key, []).append(number)
-        self.known = np.unique(np.concatenate([t for _, t in self.templates]))
 
     def hashed(self, shingles: np.ndarray) -> np.ndarray:
         return kernels.splitmix(shingles[None, :] ^ self.seeds)
