@@ -41,6 +41,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cloneloom-{uuid.uuid4().hex}/{name}"
 
 
+def settle(spark: SparkSession) -> None:
+    """Switch off the partition-aware union of Spark 4.1: where the adaptive
+    plan coalesces one side only, it zips unequal numbers of partitions and
+    the query fails. Unions are then concatenations, as in earlier versions."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
@@ -48,6 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shared folder, and several readers don't compute ``df`` several times.
     """
     spark = df.sparkSession
+    settle(spark)
     path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
