@@ -116,7 +116,7 @@ def add_sink(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaves = leaves.join(several, KEY, "left_semi")
     new_edges = leaves.select(*KEY, F.col("offset").alias("src"), address(SINK).alias("dst"), F.lit(0).alias("pos"))
     new_nodes = several.select(*KEY, address(SINK).alias("offset"), address(0).alias("length"), F.lit(False).alias("is_root"))
-    return nodes.unionByName(new_nodes), edges.unionByName(new_edges)
+    return written(nodes.unionByName(new_nodes), "nodes"), written(edges.unionByName(new_edges), "edges")
 
 
 def add_entry_point(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +127,7 @@ def add_entry_point(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     moved = nodes.join(led_to.select(*KEY, F.lit(True).alias("_moved")), KEY, "left")
     moved = moved.withColumn("is_root", F.col("is_root") & F.col("_moved").isNull()).drop("_moved")
     new_edges = led_to.select(*KEY, address(ENTRY).alias("src"), F.col("offset").alias("dst"), F.lit(0).alias("pos"))
-    return moved.unionByName(entry), edges.unionByName(new_edges)
+    return written(moved.unionByName(entry), "nodes"), written(edges.unionByName(new_edges), "edges")
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
