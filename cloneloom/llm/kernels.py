@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step holds; longer texts form a step alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 WORDS_IN_SHINGLE = 5
 

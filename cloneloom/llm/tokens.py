@@ -25,7 +25,7 @@ STEP_CHARS = 1 << 20
 
 #: Chunks whose ids a worker keeps, besides those of a step; the older half
 #: goes when there are more.
-MOST_CHUNKS = 1_200_000
+MOST_CHUNKS = 650_000
 
 #: Chunks joined for one call of the tokenizer.
 JOINED = 2000
