@@ -4,12 +4,14 @@ Every set of shingles chooses some of its tokens by hash, ``MEAN /
 similarity`` of them in expectation, and enters the bucket of each. Two sets
 with the wanted similarity share ``MEAN`` chosen tokens in expectation, as a
 token's hash decides alike in both. Buckets that hold many unlike sets are
-split again by newly chosen tokens, up to ``DEPTH`` times; all others are
-compared exactly, large ones in tiles. Independent runs are repeated until a
+split again by newly chosen tokens until a path has ``DEPTH`` of them, each on
+its own even where others have the same members; all others are compared
+exactly, large ones in tiles. Tokens to split by come from a pool that each
+set draws apart from its first choices. Independent runs are repeated until a
 pair's chance to meet reaches the target recall.
 
 Work stays in proportion: equal sets are one; buckets with the same members
-are one; a bucket yields per-set counts and a spanning forest, not pairs; and
+are compared once; a bucket yields per-set counts and a spanning forest, not pairs; and
 a pair that meets in several buckets counts in the least only. Sketches of 128
 bytes tell which sets of a bucket can have a partner there; only for those are
 texts read again and whole sets compared.
@@ -37,6 +39,10 @@ MEAN = 2.0
 
 DEPTH = 3
 
+#: Tokens in the pool that splits choose from, which a pair at the wanted
+#: similarity shares in expectation.
+POOL = 48.0
+
 #: Sets up to which a bucket is compared at once.
 SMALL = 64
 
@@ -61,21 +67,34 @@ _U = np.uint64
 _TOP = float(2**64)
 
 
-def runs_for(recall: float, depth: int = DEPTH, mean: float = MEAN) -> int:
+def _missed(runs: int, depth: int, mean: float, pool: float) -> float:
+    """Chance that a pair at the wanted similarity never meets in ``runs``
+    runs, even if its buckets are split at each depth. All splits of a pair
+    choose from the pool tokens it shares, whose number is a Poisson one."""
+    total = 0.0
+    for shared in range(int(pool + 12 * math.sqrt(pool)) + 1):
+        survive = 1.0
+        for _ in range(depth - 1):
+            survive = 1 - math.exp(-mean * shared / pool * survive)
+        total += math.exp(shared * math.log(pool) - pool - math.lgamma(shared + 1) - mean * runs * survive)
+    return total
+
+
+def runs_for(recall: float, depth: int = DEPTH, mean: float = MEAN, pool: float = POOL) -> int:
     """Runs after which a pair at the wanted similarity has met with
-    probability ``recall``, even if its buckets were split ``depth`` times."""
-    survive = 1.0
-    for _ in range(depth):
-        survive = 1 - math.exp(-mean * survive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - survive))
+    probability ``recall``, even if its buckets were split at each depth."""
+    runs = 1
+    while _missed(runs, depth, mean, pool) > 1 - recall:
+        runs += 1
+    return runs
 
 
-def _chosen(tokens: np.ndarray, path: int, similarity: float) -> np.ndarray:
+def _chosen(tokens: np.ndarray, path: int, similarity: float, mean: float = MEAN) -> np.ndarray:
     """Bucket keys of the tokens that a set chooses on ``path``."""
     if not len(tokens):
         return tokens
     keys = kernels.splitmix(tokens ^ kernels.splitmix(np.array([path & (2**64 - 1)], _U)))
-    rate = MEAN / (similarity * len(tokens))
+    rate = mean / (similarity * len(tokens))
     return keys if rate >= 1 else keys[keys < _U(int(rate * _TOP))]
 
 
@@ -90,10 +109,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: list[np.ndarray], dtype=np.int64) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.from_numpy_dtype(dtype)))
 
 
 _BIN_STARTS = np.arange(BINS, dtype=_U) << _U(64 - BINS.bit_length() + 1)
@@ -113,15 +132,16 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
 def _keys_of(runs: int, similarity: float):
     def run(batches):
         for batch in batches:
-            ids, sizes, keys, sketches = [], [], [], []
+            ids, sizes, keys, pools, sketches = [], [], [], [], []
             for _, own in kernels.shingle_sets(batch.column(1)):
                 ids.append(_set_id(own) if len(own) else None)
                 sizes.append(len(own))
                 keys.append(_signed(np.concatenate([_chosen(own, r + 1, similarity) for r in range(runs)])))
+                pools.append(_chosen(own, 0, similarity, POOL).astype(np.uint32).view(np.int32))
                 sketches.append(_sketch(own).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), pa.array(sketches, pa.binary())],
-                names=["doc_id", "sid", "n", "keys", "sketch"],
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(pools, np.int32), pa.array(sketches, pa.binary())],
+                names=["doc_id", "sid", "n", "keys", "pool", "sketch"],
             )
 
     return run
@@ -304,16 +324,20 @@ def _in_order(k: int):
 
 
 def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys, sketch)."""
+    """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys, pool, sketch)."""
 
     def sized(rows: DataFrame) -> DataFrame:
-        """Rows of buckets with two members or more, with their number."""
+        """Rows of buckets with two members or more, with their number. Of
+        buckets with the same members, one does; ``paths`` of a large one are
+        all that it stands for."""
         rows = written(rows, "bucket_rows")
         mark = F.xxhash64("sid")
         groups = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(mark.cast("decimal(38,0)")).alias("mark"))
-        groups = groups.filter("members > 1")
-        # of buckets with the same members, one does
-        groups = groups.groupBy("members", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+        groups = written(groups.filter("members > 1"), "bucket_sizes")
+        few = groups.filter(F.col("members") <= SMALL).groupBy("members", "mark").agg(F.min("bucket").alias("bucket"))
+        many = groups.filter(F.col("members") > SMALL).groupBy("members", "mark").agg(F.min("bucket").alias("bucket"), F.collect_list("bucket").alias("paths"))
+        few = few.select("bucket", "members", F.lit(None).cast("array<long>").alias("paths"))
+        groups = few.unionByName(many.select("bucket", "members", "paths"))
         return written(join_groups(rows, written(groups, "buckets"), ["bucket"], "members", max(1, rows.count())), "shared_rows")
 
     level = sized(sets.select(F.explode("keys").alias("bucket"), "sid"))
@@ -335,12 +359,12 @@ def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         share = written(share.select("bucket", (F.col("share") >= ALIKE).alias("alike"), "members"), "shares")
         judged = written(join_groups(large.drop("members"), share, ["bucket"], "members", max(1, level.count())), "judged")
         leaves.append(judged.filter("alike").select("bucket", "sid", "members"))
-        # split by tokens that the set has chosen before, chosen anew on this path
-        again = judged.filter("not alike").join(sets.select("sid", "keys"), "sid")
-        rate = MEAN / (similarity * F.size("keys"))
-        again = again.select("sid", "bucket", rate.alias("rate"), F.explode("keys").alias("key")).filter("key <> bucket")
-        again = again.select(F.xxhash64("bucket", "key").alias("bucket"), "sid", "rate")
-        level = sized(again.filter(F.pmod("bucket", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("bucket", "sid"))
+        # split by tokens of the set's pool, chosen anew on each path
+        again = judged.filter("not alike").select("sid", "paths").join(sets.select("sid", "n", "pool"), "sid")
+        rate = F.greatest(F.lit(MEAN / POOL), MEAN / (similarity * F.col("n")))
+        taken = lambda key: F.pmod(key, F.lit(1 << 30)) < rate * (1 << 30)
+        parts = F.transform("paths", lambda path: F.filter(F.transform("pool", lambda key: F.xxhash64(path, key)), taken))
+        level = sized(again.select(F.explode(F.flatten(parts)).alias("bucket"), "sid"))
 
     rows = leaves[0].select("bucket", "sid", "members")
     for leaf in leaves[1:]:
@@ -374,10 +398,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     linked by their texts like others. An empty table stays empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, sid binary, n long, keys array<long>, sketch binary"), "keyed")
+    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, sid binary, n long, keys array<long>, pool array<int>, sketch binary"), "keyed")
     n_rows = keyed.count()
     sets = keyed.filter("sid is not null").groupBy("sid").agg(
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")
     )
     sets = written(sets, "sets")
     links = _links(rows, sets, similarity)

@@ -2,6 +2,7 @@
 against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +90,20 @@ def test_join_splits_large_buckets_and_tiles(spark, monkeypatch):
     assert 0 <= missed < 0.001
 
 
+def test_join_recall_of_texts_made_of_hot_passages(spark):
+    """Nearly every shingle that a pair shares stands in 78 texts, so splits
+    lead to it; all texts have the same size, so a passage's buckets agree."""
+    word = iter(range(10**7))
+    run = lambda n: " ".join("w%d" % next(word) for _ in range(n))
+    passages = [run(150) for _ in range(40)]
+    docs = []
+    for one, two in itertools.combinations(passages, 2):
+        docs += [(len(docs) + k, f"{one} {two} {run(30)}") for k in range(2)]
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = sum(got[k] != got[k + 1] for k in range(0, len(docs), 2))
+    assert missed == 0
+
+
 def test_runs_reach_the_recall():
     rng = np.random.default_rng(2)
     runs, missed, pairs = ngram_join.runs_for(ngram_join.RECALL), 0, 400
