@@ -208,6 +208,24 @@ def test_bands_reject_repetition_and_noise(spark, documents):
     assert got == {1: False, 2: False, 3: True}
 
 
+def test_bands_reject_short_noise_and_noisy_tails(spark):
+    import base64
+    import random
+
+    rng = random.Random(8)
+
+    def noise(n):
+        text = base64.b64encode(rng.randbytes(n)).decode()
+        return " ".join(text[k : k + 12] for k in range(0, len(text), 12))[:n]
+
+    vocabulary = ["".join(rng.choices("aeionrst", k=rng.randint(2, 8))) for _ in range(400)]
+    clean = " ".join(rng.choices(vocabulary, k=420))[:2060]
+    cases = {n: noise(n) for n in (130, 159, 200, 260, 300, 383, 500, 700, 1023, 1500, 2000, 2047)}
+    cases |= {0: clean, 1: clean + " " + noise(1500)}
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert got == {n: n == 0 for n in cases}
+
+
 def test_quality_keeps_what_is_labelled_good(spark, data_dir, documents):
     labels = spark.read.parquet(f"{data_dir}/labels.parquet").filter("quality = 1").select("doc_id")
     rows = quality.quality(documents.join(labels, "doc_id", "left_semi")).collect()
