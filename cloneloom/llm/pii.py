@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) are the seeds. The words before a seed are
 its lexical patterns; patterns and the identifier-like strings that follow
 them form a graph. A pattern's confidence for a kind is the share of its
 strings that are known to be of that kind; a string becomes known when a
-confident pattern precedes it and its shape fits the kind; and so on for some
-rounds. Strings found so are added as spans. Only DataFrame functions are
+confident pattern precedes it and its shape fits the kind; and so on until no
+more strings become known. Strings found so are added as spans. Only DataFrame functions are
 used, and documents are read once.
 """
 
@@ -37,8 +37,6 @@ CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++|[+(
 #: Characters before a candidate in which its context words are sought.
 CONTEXT_CHARS = 64
 
-ROUNDS = 3
-
 #: A pattern with this confidence makes strings known. One is added to the
 #: strings it is divided by, so a pattern needs nine known strings at least.
 CONFIDENT = 0.9
@@ -135,25 +133,26 @@ def _fits(value: Column, kind: str) -> Column:
     return value.rlike(SHAPES[kind])
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
+def bootstrap(seen: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """(pattern, kind, confidence) of confident patterns.
 
     ``seen``: a written table of occurrences. Counts are of distinct strings,
-    so copies of a document prove nothing.
+    so copies of a document prove nothing. Each round but the last makes
+    strings known, so the rounds come to an end.
     """
     edges = seen.select(F.explode("patterns").alias("pattern"), "value", "kind")
     edges = written(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     # only patterns that precede a seed can come to be confident for its kind,
     # directly or through what confident ones made known
     known = written(edges.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("known")), "known")
-    for k in range(rounds):
+    while True:
         scored = edges.join(known, "value", "left")
         sums = {k: F.sum(F.when(F.col("known") == k, 1).otherwise(0)).alias(k) for k in KINDS}
         counts = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums.values())
         best = F.greatest(*(F.struct((F.col(k) / (F.col("n") + 1)).alias("confidence"), F.lit(k).alias("kind")) for k in KINDS))
         patterns = counts.select("pattern", best.alias("best")).select("pattern", "best.*").filter(F.col("confidence") >= confident)
         patterns = written(patterns, "patterns")
-        if patterns.isEmpty() or k == rounds - 1:
+        if patterns.isEmpty():
             break
         new = edges.select("pattern", "value").join(patterns, "pattern").join(known, "value", "left_anti")
         fits = reduce(lambda e, k: e | ((F.col("kind") == k) & _fits(F.col("value"), k)), KINDS, F.lit(False))
@@ -165,7 +164,7 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDEN
     return patterns
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, confident: float = CONFIDENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans, n_found.
 
@@ -175,7 +174,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, id
     """
     scan = written(_scan(docs, id_col, text_col), "scan")
     seen = written(_occurrences(scan), "occurrences")
-    patterns = bootstrap(seen, rounds, confident)
+    patterns = bootstrap(seen, confident)
     open_ = seen.filter("kind is null").select("doc_id", "h", "s", "e", "value", F.explode("patterns").alias("pattern"))
     hits = open_.join(patterns, "pattern")
     fits = reduce(lambda e, k: e | ((F.col("kind") == k) & _fits(F.col("value"), k)), KINDS, F.lit(False))

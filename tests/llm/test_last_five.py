@@ -316,3 +316,17 @@ def test_pii_context_finds_unseen(spark):
     assert got[100].spans == "phone:18:30" and got[100].n_found == 1 and got[100].n_phone == 0
     assert got[101].spans == "" and got[102].spans == ""
     assert all(got[k].n_found == 0 for k in range(30))
+
+
+def test_pii_rounds_go_on_while_strings_become_known(spark):
+    """Patterns of each level precede the strings found by the level before
+    and one string of their own."""
+    value = lambda level, k: f"10.{level}.0.{k}"
+    rows = []
+    for level in range(1, 7):
+        for p in range(24):
+            for at, k in [*((level - 1, k) for k in range(24)), (level, p)]:
+                rows.append(([f"word{level}-{p}"], value(at, k), "ip" if at == 0 else None))
+    seen = spark.createDataFrame(rows, "patterns array<string>, value string, kind string")
+    got = {r.pattern for r in pii.bootstrap(seen).collect()}
+    assert got == {f"word{level}-{p}" for level in range(1, 7) for p in range(24)}
