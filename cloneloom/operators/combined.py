@@ -16,15 +16,14 @@ def combined_members(members: DataFrame, vecs: DataFrame, min_similarity: float
 
     The vector is that of the whole function, even of an inner subtree.
     Functions without a vector drop out. Pairs are sought between distinct
-    vectors that share a class, and compared once however many they share.
+    vectors inside each class.
     """
     vecs = written(vecs, "vectors")
     distinct = written(distinct_vectors(vecs), "distinct_vectors")
     rows = members.drop("class_depth").join(vecs.select("binary_id", "function_id", "vid"), ["binary_id", "function_id"])
     rows = written(rows.join(distinct.select("vid"), "vid", "left_semi"), "members")
     held = written(rows.select("class_key", "vid").distinct(), "class_vectors")
-    pairs = written(similar_vectors(distinct, min_similarity, held), "pairs")
-    inside = pairs.join(held.select("class_key", F.col("vid").alias("a")), "a").join(held.select("class_key", F.col("vid").alias("b")), ["class_key", "b"])
+    inside = written(similar_vectors(distinct, min_similarity, held), "pairs")
     own = held.limit(0) if min_similarity >= 1 else held
     around = distinct_neighbourhoods(written(neighbourhoods(inside, own, ["class_key"]), "around"), ["class_key"])
     found = around.join(rows.withColumnRenamed("vid", "b"), ["class_key", "b"])

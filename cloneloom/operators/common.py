@@ -12,11 +12,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: the one in ``spark.checkpoint.dir``,
-    or a temporary one where that is unset (tests, one machine)."""
+    """Folder that all executors share: the one in ``spark.checkpoint.dir``.
+    Where that is unset, a temporary one is used on a single machine; on a
+    cluster it would be a different one on each, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="cloneloom-")
@@ -40,20 +43,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the row's place, from 0, in a total order.
+def numbered(rows: DataFrame, order: list[Column], name: str, group: list[str] | None = None) -> DataFrame:
+    """Add the row's place, from 0, in a total order, or in that of its group.
 
-    Rows are dealt by ranges and numbered inside each range; each range starts
-    after the rows of those before it. No task sees all rows.
+    Rows are dealt by ranges of group and order and numbered inside each
+    range; each range starts after the rows of those before it. No task sees
+    all rows, nor all of a hot group.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    group = group or []
+    dealt = rows.repartitionByRange(*map(F.col, group), *order).withColumn("_part", F.spark_partition_id())
     dealt = written(dealt, "ranges")
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row a range
-    base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(*order)
+    counts = dealt.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range and group
+    before = Window.partitionBy(*group).orderBy("_part")
+    base = counts.select("_part", *group, (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
+    inside = Window.partitionBy("_part", *group).orderBy(*order)
     placed = dealt.withColumn("_place", F.row_number().over(inside) - 1)
-    return placed.join(base, "_part").withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_base", "_place")
+    return placed.join(base, ["_part", *group]).withColumn(name, (F.col("_base") + F.col("_place")).cast("long")).drop("_part", "_base", "_place")
 
 
 #: A group of more than this share of all rows is hot; there are at most

@@ -38,7 +38,9 @@ def semantic_members(vecs: DataFrame, min_similarity: float = 0.99) -> DataFrame
     if min_similarity >= 1:
         distinct = distinct.limit(0)
     around = distinct_neighbourhoods(written(neighbourhoods(pairs, distinct, []), "around"), [])
+    # a class's size needs the numbers of equal vectors alone
+    equal = vecs.groupBy(F.col("vid").alias("b")).agg(F.count(F.lit(1)).alias("equal"))
+    several = around.join(equal, "b").groupBy("a").agg(F.sum("equal").alias("size")).filter("size > 1").select("a")
+    around = written(around.join(several, "a", "left_semi"), "classes")
     members = around.join(vecs.select(F.col("vid").alias("b"), "binary_id", "function_id"), "b")
-    members = members.select(F.col("a").alias("class_key"), "binary_id", "function_id")
-    several = members.groupBy("class_key").count().filter("count > 1").select("class_key")
-    return members.join(several, "class_key", "left_semi")
+    return members.select(F.col("a").alias("class_key"), "binary_id", "function_id")

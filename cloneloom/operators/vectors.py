@@ -6,11 +6,24 @@ Cosine doesn't depend on scale, so vectors are kept as integer counts, and
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statements import mnemonic
 from ..model import FUNCTION_KEY
+from .common import join_groups, written
+
+#: Vectors that are compared at once; larger buckets are cut into tiles.
+TILE = 512
+
+#: Opcodes whose counts are multiplied at once.
+WIDTH = 2048
 
 
 def opcode_column(cross_arch: bool) -> Column:
@@ -53,39 +66,196 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
 
 
 def _prefixes(distinct: DataFrame, min_similarity: float) -> DataFrame:
-    """(vid, opcode) of each vector's prefix.
+    """(vid, norm2, vec, opcode, n) of each vector's prefix.
 
     Opcodes are put in one order, rare ones first. What stands after a
     vector's prefix is shorter than ``min_similarity`` of it, so two vectors
     with a higher cosine share an opcode of both prefixes.
     """
-    flat = distinct.select("vid", "norm2", F.explode("vec").alias("x")).select("vid", "norm2", "x.opcode", "x.n")
-    held = flat.groupBy("opcode").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("vid").orderBy("df", "opcode").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rest = F.sum(F.col("n") * F.col("n")).over(order)
+    flat = distinct.select("vid", F.explode("vec").alias("x")).select("vid", "x.opcode", "x.n")
+    held = written(flat.groupBy("opcode").agg(F.count(F.lit(1)).alias("df")), "opcodes")
+    parts = F.array_sort(F.collect_list(F.struct("df", "opcode", "n")))
+    ranked = join_groups(flat, held, ["opcode"], "df").groupBy("vid").agg(parts.alias("parts"))
     # a little slack, as the exact comparison is made in floating point
     least = max(0.0, min_similarity - 1e-9) ** 2
-    return flat.join(held, "opcode").withColumn("rest", rest).filter(F.col("rest") >= F.col("norm2") * least).select("vid", "opcode")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.array().cast("array<struct<opcode:string,n:long>>").alias("kept"))
+
+    def step(state, x):
+        rest = F.col("norm2") - state["seen"]
+        kept = F.when(rest >= F.col("norm2") * least, F.concat(state["kept"], F.array(F.struct(x["opcode"].alias("opcode"), x["n"].alias("n"))))).otherwise(state["kept"])
+        return F.struct((state["seen"] + x["n"] * x["n"]).alias("seen"), kept.alias("kept"))
+
+    prefix = F.aggregate("parts", start, step)["kept"]
+    rows = distinct.join(ranked, "vid")
+    return rows.select("vid", "norm2", "vec", F.explode(prefix).alias("x")).select("vid", "norm2", "vec", "x.opcode", "x.n")
+
+
+def _tiles(entries: DataFrame, keys: list[str], min_similarity: float) -> DataFrame:
+    """(class_key, tile, crossing, block, guest, vid, norm2, vec), sorted by
+    tile: which vectors meet where.
+
+    Those of one opcode are dealt into cells by their angle to its axis. Two
+    vectors with a cosine over ``min_similarity`` differ in that angle by less
+    than the angle between them, so a vector is at home in its cell and a guest
+    in the next one. Crowded cells are cut into blocks, which meet two at a
+    time.
+    """
+    wide = max(math.acos(min(1.0, max(0.0, min_similarity))), 1e-4) + 1e-6
+    angle = F.acos(F.least(F.lit(1.0), F.col("n") / F.sqrt(F.col("norm2").cast("double"))))
+    cell = F.floor(angle / wide).cast("int")
+    places = F.array(F.struct(cell.alias("cell"), F.lit(False).alias("guest")), F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest")))
+    rows = entries.withColumn("at", F.explode(places)).select(*keys, "at.cell", "at.guest", "vid", "norm2", "vec")
+    rows = written(rows, "cell_rows")
+    at = [*keys, "cell"]
+    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("members"), F.sum(F.when(F.col("guest"), 0).otherwise(1)).alias("at_home"))
+    sizes = written(sizes.filter("at_home > 0 and members > 1").drop("at_home"), "cell_sizes")
+    rows = join_groups(rows, sizes, at, "members")
+    blocks = F.ceil(F.col("members") / TILE).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    place = [F.col(k) for k in keys if k != "opcode"]
+    tile = F.concat_ws("/", *place, F.col("cell").cast("string"), low.cast("string"), high.cast("string"), "opcode")
+    klass = F.col("class_key") if "class_key" in keys else F.lit("")
+    rows = rows.select(klass.alias("class_key"), tile.alias("tile"), (low != high).alias("crossing"), "block", "guest", "vid", "norm2", "vec")
+    return rows.repartition("tile").sortWithinPartitions("tile")
+
+
+def _dots(vecs: pa.Array) -> np.ndarray:
+    """Products of each two of several sparse count vectors, exactly."""
+    m = len(vecs)
+    out = np.zeros((m, m))
+    lengths = np.diff(vecs.offsets.to_numpy())
+    flat = vecs.flatten()
+    codes = flat.field("opcode").dictionary_encode().indices.to_numpy()
+    counts = flat.field("n").to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(m), lengths)
+    for low in range(0, int(codes.max(initial=-1)) + 1, WIDTH):
+        here = (codes >= low) & (codes < low + WIDTH)
+        held = np.zeros((m, min(WIDTH, int(codes.max()) + 1 - low)))
+        held[row[here], codes[here] - low] = counts[here]
+        out += held @ held.T
+    return out
+
+
+def _pairs_of(tile: pa.Table, min_similarity: float) -> pa.RecordBatch:
+    """(class_key, a, b, similarity) of a tile's vectors."""
+    tile = tile.combine_chunks()
+    length = np.sqrt(tile.column("norm2").to_numpy().astype(np.float64))
+    guest, block = tile.column("guest").to_numpy(), tile.column("block").to_numpy()
+    vecs = tile.column("vec").chunk(0) if tile.num_rows else None
+    similarity = _dots(vecs) / (length[:, None] * length[None, :])
+    near = np.triu(similarity > min_similarity, 1) & ~(guest[:, None] & guest[None, :])
+    if tile.column("crossing")[0].as_py():
+        near &= block[:, None] != block[None, :]
+    i, j = np.nonzero(near)
+    ids = tile.column("vid").combine_chunks()
+    one, two = ids.take(pa.array(i)), ids.take(pa.array(j))
+    less = pc.less(one, two)
+    columns = [tile.column("class_key").combine_chunks().take(pa.array(i)), pc.if_else(less, one, two), pc.if_else(less, two, one), pa.array(similarity[i, j])]
+    return pa.RecordBatch.from_arrays(columns, names=["class_key", "a", "b", "similarity"])
+
+
+def _by_tile(min_similarity: float):
+    """Streams rows sorted by tile; holds one tile at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            if held:
+                whole = pa.Table.from_batches(held)
+                held.clear()
+                if whole.num_rows > 1:
+                    yield _pairs_of(whole, min_similarity)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(batch.schema.get_field_index("tile")))
+            start = 0
+            for end, tile in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if tile != now:
+                    yield from close()
+                    now = tile
+                held.append(batch.slice(start, end - start))
+                start = end
+        yield from close()
+
+    return run
 
 
 def similar_vectors(distinct: DataFrame, min_similarity: float, groups: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of vectors with a cosine over
-    ``min_similarity``. With ``groups`` (class_key, vid), only of vectors that
-    share a class."""
+    ``min_similarity``. With ``groups`` (class_key, vid), of vectors that share
+    a class: (class_key, a, b, similarity).
+
+    Vectors meet in tiles of opcodes of their prefixes and of angles to those
+    opcodes' axes; only pairs that are similar enough leave a tile, so what is
+    shuffled is vectors and results, not candidates. A null or missing vector,
+    or one of length 0, has no pair.
+    """
     prefix = _prefixes(distinct, min_similarity)
     keys = ["opcode"]
     if groups is not None:
-        prefix, keys = groups.join(prefix, "vid"), ["class_key", "opcode"]
-    left, right = prefix.withColumnRenamed("vid", "a"), prefix.withColumnRenamed("vid", "b")
-    pairs = left.join(right, keys).filter("a < b").select("a", "b").distinct()
-    one = distinct.select(F.col("vid").alias("a"), F.col("vec").alias("vec_a"), F.col("norm2").alias("norm_a"))
-    two = distinct.select(F.col("vid").alias("b"), F.col("vec").alias("vec_b"), F.col("norm2").alias("norm_b"))
-    found = pairs.join(one, "a").join(two, "b")
-    found = found.withColumn("similarity", cosine(F.col("vec_a"), F.col("vec_b"), F.col("norm_a"), F.col("norm_b")))
-    return found.filter(F.col("similarity") > min_similarity).select("a", "b", "similarity")
+        prefix, keys = groups.select("class_key", "vid").join(prefix, "vid"), ["class_key", "opcode"]
+    found = _tiles(prefix, keys, min_similarity).mapInArrow(_by_tile(min_similarity), "class_key string, a string, b string, similarity double").distinct()
+    return found if groups is not None else found.drop("class_key")
 
 
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def _dense_pairs(min_similarity: float):
+    """(a, b, similarity) of (i, j, block, id, vec), sorted by (i, j)."""
+
+    def pairs(rows: pa.Table, crossing: bool) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        ids, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
+        x = rows.column("vec").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        length = np.sqrt((x * x).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            similarity = (x @ x.T) / (length[:, None] * length[None, :])
+        near = np.triu(similarity > min_similarity, 1)
+        if crossing:
+            near &= block[:, None] != block[None, :]
+        i, j = np.nonzero(near)
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(similarity[i, j])], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1), len(i)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if (i[start], j[start]) != now:
+                    if held:
+                        yield pairs(pa.Table.from_batches(held), now[0] != now[1])
+                    now, held = (i[start], j[start]), []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield pairs(pa.Table.from_batches(held), now[0] != now[1])
+
+    return run
+
+
+def similar_dense(rows: DataFrame, min_similarity: float, id_col: str, vec_col: str, tile: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b, of dense vectors with a cosine over
+    ``min_similarity``; ids are numbers, vectors of one length.
+
+    Every two vectors are compared, as no bound on their angles prunes a low
+    threshold, in tiles of about ``tile`` by ``tile`` that one matrix product
+    each settles; only similar pairs leave a tile. Vectors travel once for
+    every ``tile`` vectors of the table. Null vectors have no pair.
+    """
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter("id is not null and vec is not null")
+    blocks = max(1, -(-rows.count() // tile))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "vec")
+    rows = rows.repartition("i", "j").sortWithinPartitions("i", "j")
+    return rows.mapInArrow(_dense_pairs(min_similarity), "a long, b long, similarity double")

@@ -59,27 +59,36 @@ def function_bodies(dumps: DataFrame, output: str = "output") -> DataFrame:
     return _bodies(dumps, F.from_json(output, f"ops {_OPS}")["ops"])
 
 
-def _hexadecimal(text: Column) -> Column:
-    return F.when(F.length(text) <= 16, F.conv(text, 16, 10).cast(ADDRESS))
+def _address(text: Column) -> Column:
+    return F.when(F.lower(text).startswith("0x"), S.number(F.lower(text)))
 
 
-def _lines(dumps: DataFrame, output: str, pattern: str) -> DataFrame:
-    rows = dumps.select(*KEY, F.explode(F.split(output, "\r?\n")).alias("line"))
-    return rows.select(*KEY, F.regexp_extract("line", pattern, 1).alias("a"), F.regexp_extract("line", pattern, 2).alias("b")).filter("a <> ''")
+def _quoted(text: Column) -> Column:
+    """What stands in the double quotes that are all of the text, or null."""
+    bare = F.trim(text)
+    return F.when(bare.startswith('"') & bare.endswith('"'), F.replace(bare, F.lit('"'), F.lit("")))
+
+
+def _lines(dumps: DataFrame, output: str) -> DataFrame:
+    return dumps.select(*KEY, F.explode(F.split(output, "\r?\n")).alias("line"))
 
 
 def text_edges(dumps: DataFrame, output: str = "output") -> DataFrame:
-    """(key, src, dst) of lines like ``"0x10" -> "0x20"``."""
-    rows = _lines(dumps, output, r'"0[xX]([0-9a-fA-F]+)"\s*->\s*"0[xX]([0-9a-fA-F]+)"')
-    return rows.select(*KEY, _hexadecimal(F.col("a")).alias("src"), _hexadecimal(F.col("b")).alias("dst")).filter("src is not null and dst is not null")
+    """(key, src, dst) of lines like ``"0x10" -> "0x20"``; attributes may
+    follow in brackets."""
+    ends = F.split(F.split_part("line", F.lit("["), F.lit(1)), "->")
+    rows = _lines(dumps, output).withColumn("ends", ends).filter(F.size("ends") == 2)
+    rows = rows.select(*KEY, *(_address(_quoted(F.rtrim(F.get("ends", F.lit(k)), F.lit("; ")))).alias(name) for k, name in enumerate(("src", "dst"))))
+    return rows.filter("src is not null and dst is not null")
 
 
 def text_blocks(dumps: DataFrame, output: str = "output") -> DataFrame:
     """(key, offset, length) of lines that start with an address and have the
     length in their fourth field."""
-    rows = _lines(dumps, output, r"0[xX]([0-9a-fA-F]+)\s+[^\s]+\s+[^\s]+\s+([0-9]+)")
-    length = F.when(F.length("b") <= 20, F.col("b").cast(ADDRESS))
-    return rows.select(*KEY, _hexadecimal(F.col("a")).alias("offset"), length.alias("length")).filter("offset is not null and length is not null and length < 18446744073709551616")
+    rows = _lines(dumps, output).select(*KEY, F.split(F.trim("line"), "[ \t]+").alias("fields")).filter(F.size("fields") > 3)
+    rows = rows.select(*KEY, _address(F.get("fields", F.lit(0))).alias("offset"), F.get("fields", F.lit(3)).alias("length"))
+    length = F.when(F.col("length").rlike("^[0-9]+$"), S.number(F.col("length")))
+    return rows.withColumn("length", length).filter("offset is not null and length is not null")
 
 
 def function_graphs(block_dumps: DataFrame, edge_dumps: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
