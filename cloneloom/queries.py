@@ -41,6 +41,10 @@ def _user(rows: DataFrame, *columns) -> DataFrame:
     return rows.select(F.col("function_id").cast("long").alias("user_id"), *columns)
 
 
+def _function(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select("function_id", *columns)
+
+
 # -- statements
 
 _TRIMMED = r"regexp_replace(translate(role || ' ' || text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^\s+|\s+$', '', 'g')"
@@ -165,27 +169,27 @@ def scan_architectures(spark, sf_dir):
 
 
 _STATEMENTS_SQL = """
-    ev AS (SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos FROM events QUALIFY pos < 24),
-    st AS (SELECT user_id, pos, pos * 4 AS off, event_type,
+    ev AS (SELECT user_id || '.' || (place // 24) AS function_id, event_id, event_type, CAST(place % 24 AS INTEGER) AS pos
+           FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events)),
+    st AS (SELECT function_id, pos, pos * 4 AS off, event_type,
                   CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(event_id % 40 * 4 AS INTEGER) END AS target,
                   CASE event_type WHEN 'purchase' THEN 'cond' WHEN 'signup' THEN 'jump' WHEN 'error' THEN 'ret' ELSE 'none' END AS kind,
-                  max(pos) OVER (PARTITION BY user_id) * 4 AS high
+                  max(pos) OVER (PARTITION BY function_id) * 4 AS high
            FROM ev),
-    ld AS (SELECT user_id, off FROM (SELECT user_id, off, lag(kind) OVER (PARTITION BY user_id ORDER BY pos) AS b FROM st) WHERE b IS NULL OR b <> 'none'
-           UNION SELECT user_id, target FROM st WHERE target BETWEEN 0 AND high),
-    bl AS (SELECT l.user_id, l.off, lead(l.off) OVER (PARTITION BY l.user_id ORDER BY l.off) AS nxt, e.fn_end
-           FROM ld l JOIN (SELECT user_id, max(off) + 4 AS fn_end FROM st GROUP BY 1) e ON l.user_id = e.user_id),
-    jb AS (SELECT s.*, b.off AS block, b.nxt FROM st s JOIN bl b ON s.user_id = b.user_id AND s.off >= b.off AND (b.nxt IS NULL OR s.off < b.nxt) WHERE kind <> 'none'),
-    ed AS (SELECT user_id, off AS src, nxt AS dst FROM bl b WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jb WHERE jb.user_id = b.user_id AND jb.block = b.off)
-           UNION SELECT user_id, block, target FROM jb WHERE target BETWEEN 0 AND high
-           UNION SELECT user_id, block, nxt FROM jb WHERE kind = 'cond' AND target BETWEEN 0 AND high AND nxt IS NOT NULL)
+    ld AS (SELECT function_id, off FROM (SELECT function_id, off, lag(kind) OVER (PARTITION BY function_id ORDER BY pos) AS b FROM st) WHERE b IS NULL OR b <> 'none'
+           UNION SELECT function_id, target FROM st WHERE target BETWEEN 0 AND high),
+    bl AS (SELECT l.function_id, l.off, lead(l.off) OVER (PARTITION BY l.function_id ORDER BY l.off) AS nxt, e.fn_end
+           FROM ld l JOIN (SELECT function_id, max(off) + 4 AS fn_end FROM st GROUP BY 1) e ON l.function_id = e.function_id),
+    jb AS (SELECT s.*, b.off AS block, b.nxt FROM st s JOIN bl b ON s.function_id = b.function_id AND s.off >= b.off AND (b.nxt IS NULL OR s.off < b.nxt) WHERE kind <> 'none'),
+    ed AS (SELECT function_id, off AS src, nxt AS dst FROM bl b WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jb WHERE jb.function_id = b.function_id AND jb.block = b.off)
+           UNION SELECT function_id, block, target FROM jb WHERE target BETWEEN 0 AND high
+           UNION SELECT function_id, block, nxt FROM jb WHERE kind = 'cond' AND target BETWEEN 0 AND high AND nxt IS NOT NULL)
 """
 
 
-def _event_parts(spark, sf_dir):
-    jumped = cfg.jumps(V.event_statements(spark, sf_dir), F.lit("x86"))
-    block = cfg.bare_blocks(cfg.leaders(jumped), V.event_ends(spark, sf_dir))
-    return jumped, block
+def _event_graphs(spark, sf_dir):
+    statements = V.event_statements(spark, sf_dir)
+    return cfg.from_statements(statements, V.ends_of(statements), F.lit("x86"))
 
 
 def _statement_dump(spark, sf_dir):
@@ -197,7 +201,7 @@ def _statement_dump(spark, sf_dir):
 
 _BODY_SQL = f"""
     WITH {_STATEMENTS_SQL}
-    SELECT user_id, pos, CAST(off AS BIGINT) AS "offset",
+    SELECT function_id, pos, CAST(off AS BIGINT) AS "offset",
            CASE kind WHEN 'cond' THEN 'cjmp' WHEN 'jump' THEN 'jmp' WHEN 'ret' THEN 'ret' ELSE CASE event_type WHEN 'click' THEN 'mov' ELSE 'cmp' END END AS family,
            CASE event_type WHEN 'click' THEN 'mov eax, 1' WHEN 'error' THEN 'ret' WHEN 'purchase' THEN 'je 0x' || printf('%x', target) WHEN 'signup' THEN 'jmp 0x' || printf('%x', target) ELSE 'cmp eax, 2' END AS instruction
     FROM st
@@ -206,93 +210,81 @@ _BODY_SQL = f"""
 
 @query(_BODY_SQL)
 def scan_function_bodies(spark, sf_dir):
-    return _user(dumps.function_bodies(_statement_dump(spark, sf_dir)), "pos", *_long("offset"), "family", "instruction")
+    return _function(dumps.function_bodies(_statement_dump(spark, sf_dir)), "pos", *_long("offset"), "family", "instruction")
 
 
 @query(_BODY_SQL)
 def scan_block_bodies(spark, sf_dir):
-    return _user(dumps.block_bodies(_statement_dump(spark, sf_dir), "block_output"), "pos", *_long("offset"), "family", "instruction")
+    return _function(dumps.block_bodies(_statement_dump(spark, sf_dir), "block_output"), "pos", *_long("offset"), "family", "instruction")
 
 
-@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(off AS BIGINT) AS \"offset\" FROM ld")
+@query(f"WITH {_STATEMENTS_SQL} SELECT function_id, CAST(off AS BIGINT) AS \"offset\" FROM ld")
 def cfg_leaders(spark, sf_dir):
-    return _user(cfg.leaders(cfg.jumps(V.event_statements(spark, sf_dir), F.lit("x86"))), *_long("offset"))
+    return _function(cfg.leaders(cfg.jumps(V.event_statements(spark, sf_dir), F.lit("x86"))), *_long("offset"))
 
 
-@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(off AS BIGINT) AS \"offset\", CAST(coalesce(nxt, fn_end) - off AS BIGINT) AS length FROM bl")
+@query(f"WITH {_STATEMENTS_SQL} SELECT function_id, CAST(off AS BIGINT) AS \"offset\", CAST(coalesce(nxt, fn_end) - off AS BIGINT) AS length FROM bl")
 def cfg_blocks(spark, sf_dir):
-    return _user(_event_parts(spark, sf_dir)[1], *_long("offset", "length"))
+    statements = V.event_statements(spark, sf_dir)
+    leaders = cfg.leaders(cfg.jumps(statements, F.lit("x86")))
+    return _function(cfg.bare_blocks(leaders, V.ends_of(statements)), *_long("offset", "length"))
 
 
-@query(f"WITH {_STATEMENTS_SQL} SELECT user_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+@query(f"WITH {_STATEMENTS_SQL} SELECT function_id, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(row_number() OVER (PARTITION BY function_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
 def cfg_edges(spark, sf_dir):
-    nodes, edges = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
-    return _user(edges, *_long("src", "dst"), "pos")
+    nodes, edges = _event_graphs(spark, sf_dir)
+    return _function(edges, *_long("src", "dst"), "pos")
 
 
 @query(f"""
     WITH {_STATEMENTS_SQL}
-    SELECT user_id, CAST(coalesce(min(CASE WHEN NOT led THEN off END), min(off)) AS BIGINT) AS root
-    FROM (SELECT b.user_id, b.off, EXISTS (SELECT 1 FROM ed WHERE ed.user_id = b.user_id AND ed.dst = b.off) AS led FROM bl b) GROUP BY 1
+    SELECT function_id, CAST(coalesce(min(CASE WHEN NOT led THEN off END), min(off)) AS BIGINT) AS root
+    FROM (SELECT b.function_id, b.off, EXISTS (SELECT 1 FROM ed WHERE ed.function_id = b.function_id AND ed.dst = b.off) AS led FROM bl b) GROUP BY 1
 """)
 def cfg_root(spark, sf_dir):
-    nodes, _ = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
-    return _user(nodes.filter("is_root"), F.col("offset").cast("long").alias("root"))
+    nodes, _ = _event_graphs(spark, sf_dir)
+    return _function(nodes.filter("is_root"), F.col("offset").cast("long").alias("root"))
 
 
 @query(f"""
     WITH {_STATEMENTS_SQL},
-    o AS (SELECT user_id, src, dst, row_number() OVER (PARTITION BY user_id, src ORDER BY dst) AS k FROM ed)
-    SELECT user_id, CAST(src AS BIGINT) AS src, CAST(max(CASE WHEN k = 1 THEN dst END) AS BIGINT) AS next, CAST(max(CASE WHEN k = 2 THEN dst END) AS BIGINT) AS cond FROM o GROUP BY 1, 2
+    o AS (SELECT function_id, src, dst, row_number() OVER (PARTITION BY function_id, src ORDER BY dst) AS k FROM ed)
+    SELECT function_id, CAST(src AS BIGINT) AS src, CAST(max(CASE WHEN k = 1 THEN dst END) AS BIGINT) AS next, CAST(max(CASE WHEN k = 2 THEN dst END) AS BIGINT) AS cond FROM o GROUP BY 1, 2
 """)
 def cfg_next_cond(spark, sf_dir):
-    _, edges = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    _, edges = _event_graphs(spark, sf_dir)
     after = cfg.successor(edges, 0).withColumnRenamed("dst", "next")
     taken = cfg.successor(edges, 1).withColumnRenamed("dst", "cond")
-    return _user(after.join(taken, [*cfg.KEY, "src"], "left"), *_long("src", "next", "cond"))
+    return _function(after.join(taken, [*cfg.KEY, "src"], "left"), *_long("src", "next", "cond"))
 
 
 @query(f"""
     WITH {_STATEMENTS_SQL},
-    leaf AS (SELECT user_id, off FROM bl WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.user_id = bl.user_id AND ed.src = bl.off))
-    SELECT user_id, CAST(off AS BIGINT) AS leaf FROM leaf WHERE user_id IN (SELECT user_id FROM leaf GROUP BY 1 HAVING count(*) > 1)
+    leaf AS (SELECT function_id, off FROM bl WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.function_id = bl.function_id AND ed.src = bl.off))
+    SELECT function_id, CAST(off AS BIGINT) AS leaf FROM leaf WHERE function_id IN (SELECT function_id FROM leaf GROUP BY 1 HAVING count(*) > 1)
 """)
 def cfg_sink(spark, sf_dir):
     """Blocks that lead to an added sink."""
-    graphs = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    graphs = _event_graphs(spark, sf_dir)
     _, edges = cfg.add_sink(*graphs)
-    return _user(edges.filter(F.col("dst") == B.address(2**64 - 1)), F.col("src").cast("long").alias("leaf"))
-
-
-@query("""
-    WITH ev AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events QUALIFY pos <= 12),
-    tr AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM ev),
-    rt AS (SELECT user_id, event_type FROM ev WHERE pos = 1)
-    SELECT r.user_id, CAST(CASE r.event_type WHEN 'click' THEN 16 WHEN 'error' THEN 32 WHEN 'purchase' THEN 48 WHEN 'signup' THEN 64 ELSE 80 END AS BIGINT) AS root
-    FROM rt r WHERE EXISTS (SELECT 1 FROM tr WHERE tr.user_id = r.user_id AND tr.nxt = r.event_type)
-""")
-def cfg_entry(spark, sf_dir):
-    """Roots that get an entry point of their own."""
-    nodes, edges = cfg.add_entry_point(*_transitions(spark, sf_dir))
-    entry = nodes.filter(B.is_entry_point(F.col("offset"), F.col("length")) & F.col("is_root")).select(*cfg.KEY)
-    return _user(edges.filter("src = 0").join(entry, cfg.KEY, "left_semi"), F.col("dst").cast("long").alias("root"))
+    return _function(edges.filter(F.col("dst") == B.address(2**64 - 1)), F.col("src").cast("long").alias("leaf"))
 
 
 # -- graphs of transitions
 
 _GRAPH_SQL = """
-    ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
-                  CAST(CASE event_type WHEN 'click' THEN 16 WHEN 'error' THEN 32 WHEN 'purchase' THEN 48 WHEN 'signup' THEN 64 ELSE 80 END AS BIGINT) AS off
-           FROM events QUALIFY pos <= 12),
-    nd AS (SELECT DISTINCT user_id, off FROM ev),
-    ed AS (SELECT DISTINCT user_id, off AS src, nxt AS dst FROM (SELECT *, lead(off) OVER (PARTITION BY user_id ORDER BY pos) AS nxt FROM ev) WHERE nxt IS NOT NULL),
-    rt AS (SELECT user_id, off FROM ev WHERE pos = 1)
+    ev AS (SELECT function_id, pos, CAST(CASE event_type WHEN 'click' THEN 16 WHEN 'error' THEN 32 WHEN 'purchase' THEN 48 WHEN 'signup' THEN 64 ELSE 80 END AS BIGINT) AS off
+           FROM (SELECT event_type, user_id || '.' || (place // 12) AS function_id, place % 12 AS pos
+                 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events)) PLACED),
+    nd AS (SELECT DISTINCT function_id, off FROM ev),
+    ed AS (SELECT DISTINCT function_id, off AS src, nxt AS dst FROM (SELECT *, lead(off) OVER (PARTITION BY function_id ORDER BY pos) AS nxt FROM ev) WHERE nxt IS NOT NULL),
+    rt AS (SELECT function_id, off FROM ev WHERE pos = 0)
 """
 
 _CLOSURE_SQL = f"""
     WITH RECURSIVE {_GRAPH_SQL},
-    cl(user_id, a, b) AS (SELECT user_id, off, off FROM nd UNION SELECT cl.user_id, cl.a, ed.dst FROM cl JOIN ed ON ed.user_id = cl.user_id AND ed.src = cl.b),
-    sc AS (SELECT x.user_id, x.a AS off, min(x.b) AS scc, count(*) > 1 AS is_loop FROM cl x JOIN cl y ON x.user_id = y.user_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2)
+    cl(function_id, a, b) AS (SELECT function_id, off, off FROM nd UNION SELECT cl.function_id, cl.a, ed.dst FROM cl JOIN ed ON ed.function_id = cl.function_id AND ed.src = cl.b),
+    sc AS (SELECT x.function_id, x.a AS off, min(x.b) AS scc, count(*) > 1 AS is_loop FROM cl x JOIN cl y ON x.function_id = y.function_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2)
 """
 
 
@@ -306,78 +298,89 @@ def _named_components(seen: DataFrame) -> DataFrame:
     return seen.withColumn("scc", least)
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+@query(f"""
+    WITH {_GRAPH_SQL}
+    SELECT rt.function_id, rt.off AS root FROM rt WHERE EXISTS (SELECT 1 FROM ed WHERE ed.function_id = rt.function_id AND ed.dst = rt.off)
+""")
+def cfg_entry(spark, sf_dir):
+    """Roots that get an entry point of their own."""
+    nodes, edges = cfg.add_entry_point(*_transitions(spark, sf_dir))
+    entry = nodes.filter(B.is_entry_point(F.col("offset"), F.col("length")) & F.col("is_root")).select(*cfg.KEY)
+    return _function(edges.filter("src = 0").join(entry, cfg.KEY, "left_semi"), F.col("dst").cast("long").alias("root"))
+
+
+@query(f"WITH {_GRAPH_SQL} SELECT function_id, src, dst, CAST(row_number() OVER (PARTITION BY function_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
 def cfg_from_bare(spark, sf_dir):
-    return _user(_transitions(spark, sf_dir)[1], *_long("src", "dst"), "pos")
+    return _function(_transitions(spark, sf_dir)[1], *_long("src", "dst"), "pos")
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM ed GROUP BY 1, 2")
+@query(f"WITH {_GRAPH_SQL} SELECT function_id, src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM ed GROUP BY 1, 2")
 def graph_neighbours(spark, sf_dir):
     rows = graph.neighbours(_transitions(spark, sf_dir)[1])
-    return _user(rows, *_long("src"), F.concat_ws(",", F.transform("neighbours", lambda x: x.cast("string"))).alias("neighbours"))
+    return _function(rows, *_long("src"), F.concat_ws(",", F.transform("neighbours", lambda x: x.cast("string"))).alias("neighbours"))
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT user_id, count(*) AS n_nodes FROM nd GROUP BY 1")
+@query(f"WITH {_GRAPH_SQL} SELECT function_id, count(*) AS n_nodes FROM nd GROUP BY 1")
 def graph_len(spark, sf_dir):
-    return _user(graph.sizes(_transitions(spark, sf_dir)[0]), "n_nodes")
+    return _function(graph.sizes(_transitions(spark, sf_dir)[0]), "n_nodes")
 
 
-@query(f'WITH {_GRAPH_SQL} SELECT n.user_id, n.off AS "offset", e.src AS pred FROM nd n LEFT JOIN ed e ON e.user_id = n.user_id AND e.dst = n.off')
+@query(f'WITH {_GRAPH_SQL} SELECT n.function_id, n.off AS "offset", e.src AS pred FROM nd n LEFT JOIN ed e ON e.function_id = n.function_id AND e.dst = n.off')
 def graph_preds(spark, sf_dir):
     """All nodes can be reached here: they lie on the path of a user's events."""
     nodes, edges = _transitions(spark, sf_dir)
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
-    return _user(graph.predecessors(nodes, edges, graph.levels(nodes, edges)), *_long("offset", "pred"))
+    return _function(graph.predecessors(nodes, edges, graph.levels(nodes, edges)), *_long("offset", "pred"))
 
 
 @query(f"""
     WITH RECURSIVE {_GRAPH_SQL},
-    bf(user_id, off, level) AS (SELECT user_id, off, 0 FROM rt UNION SELECT bf.user_id, ed.dst, bf.level + 1 FROM bf JOIN ed ON ed.user_id = bf.user_id AND ed.src = bf.off WHERE bf.level < 6)
-    SELECT user_id, off AS "offset", CAST(min(level) AS INTEGER) AS level FROM bf GROUP BY 1, 2
+    bf(function_id, off, level) AS (SELECT function_id, off, 0 FROM rt UNION SELECT bf.function_id, ed.dst, bf.level + 1 FROM bf JOIN ed ON ed.function_id = bf.function_id AND ed.src = bf.off WHERE bf.level < 6)
+    SELECT function_id, off AS "offset", CAST(min(level) AS INTEGER) AS level FROM bf GROUP BY 1, 2
 """)
 def graph_bfs_level(spark, sf_dir):
-    return _user(graph.levels(*_transitions(spark, sf_dir)), *_long("offset"), F.col("level").cast("int"))
+    return _function(graph.levels(*_transitions(spark, sf_dir)), *_long("offset"), F.col("level").cast("int"))
 
 
-@query(f"{_CLOSURE_SQL} SELECT rt.user_id, cl.b AS \"offset\" FROM rt JOIN cl ON cl.user_id = rt.user_id AND cl.a = rt.off")
+@query(f"{_CLOSURE_SQL} SELECT rt.function_id, cl.b AS \"offset\" FROM rt JOIN cl ON cl.function_id = rt.function_id AND cl.a = rt.off")
 def graph_reachable(spark, sf_dir):
-    return _user(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"))
+    return _function(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"))
 
 
-@query(f"{_CLOSURE_SQL} SELECT user_id, off AS \"offset\", scc FROM sc")
+@query(f"{_CLOSURE_SQL} SELECT function_id, off AS \"offset\", scc FROM sc")
 def graph_scc(spark, sf_dir):
-    return _user(_named_components(graph.visits(*_transitions(spark, sf_dir))), *_long("offset", "scc"))
+    return _function(_named_components(graph.visits(*_transitions(spark, sf_dir))), *_long("offset", "scc"))
 
 
-@query(f"{_CLOSURE_SQL} SELECT user_id, off AS \"offset\", is_loop FROM sc")
+@query(f"{_CLOSURE_SQL} SELECT function_id, off AS \"offset\", is_loop FROM sc")
 def graph_loops(spark, sf_dir):
-    return _user(graph.loops(graph.visits(*_transitions(spark, sf_dir)).select(*cfg.KEY, "offset", "scc")), *_long("offset"), "is_loop")
+    return _function(graph.loops(graph.visits(*_transitions(spark, sf_dir)).select(*cfg.KEY, "offset", "scc")), *_long("offset"), "is_loop")
 
 
 @query(f"""
     {_CLOSURE_SQL}
-    SELECT DISTINCT ed.user_id, s.scc, ed.src AS exit, ed.dst AS target
-    FROM ed JOIN sc s ON s.user_id = ed.user_id AND s.off = ed.src JOIN sc d ON d.user_id = ed.user_id AND d.off = ed.dst WHERE s.scc <> d.scc
+    SELECT DISTINCT ed.function_id, s.scc, ed.src AS exit, ed.dst AS target
+    FROM ed JOIN sc s ON s.function_id = ed.function_id AND s.off = ed.src JOIN sc d ON d.function_id = ed.function_id AND d.off = ed.dst WHERE s.scc <> d.scc
 """)
 def loop_exits(spark, sf_dir):
     nodes, edges = _transitions(spark, sf_dir)
     found = _named_components(graph.visits(nodes, edges)).select(*cfg.KEY, "offset", "scc")
-    return _user(graph.loop_exits(edges, written(found, "components")), *_long("scc", "exit", "target"))
+    return _function(graph.loop_exits(edges, written(found, "components")), *_long("scc", "exit", "target"))
 
 
 @query(f"""
     WITH {_GRAPH_SQL}
-    SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed WHERE src <> dst
+    SELECT function_id, src, dst, CAST(row_number() OVER (PARTITION BY function_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed WHERE src <> dst
 """)
 def remove_self_edges(spark, sf_dir):
     _, edges = _transitions(spark, sf_dir)
-    return _user(graph.remove_edges(edges, edges.filter("src = dst").select(*cfg.KEY, "src", "dst")), *_long("src", "dst"), "pos")
+    return _function(graph.remove_edges(edges, edges.filter("src = dst").select(*cfg.KEY, "src", "dst")), *_long("src", "dst"), "pos")
 
 
 @query()
 def graph_visits(spark, sf_dir):
     """Orders of visits; tests hold them against worked examples."""
-    return _user(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"), "bfs", "level", "pre", "post", "depth")
+    return _function(graph.visits(*_transitions(spark, sf_dir)), *_long("offset"), "bfs", "level", "pre", "post", "depth")
 
 
 # -- text formats
@@ -389,41 +392,41 @@ def _edge_text(spark, sf_dir):
     return _transitions(spark, sf_dir)[1].groupBy(*cfg.KEY).agg(F.concat_ws("\n", F.lit("digraph code {"), F.concat_ws("\n", F.collect_list(line)), F.lit("}")).alias("output"))
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst FROM ed")
+@query(f"WITH {_GRAPH_SQL} SELECT function_id, src, dst FROM ed")
 def edges_from_dot(spark, sf_dir):
-    return _user(dumps.text_edges(_edge_text(spark, sf_dir)), *_long("src", "dst"))
+    return _function(dumps.text_edges(_edge_text(spark, sf_dir)), *_long("src", "dst"))
 
 
-@query(f'WITH {_GRAPH_SQL} SELECT user_id, off AS "offset", CAST(16 AS BIGINT) AS length FROM nd')
+@query(f'WITH {_GRAPH_SQL} SELECT function_id, off AS "offset", CAST(16 AS BIGINT) AS length FROM nd')
 def blocks_from_text(spark, sf_dir):
     nodes, _ = _transitions(spark, sf_dir)
     line = F.concat(F.lit("0x"), F.lower(F.hex(F.col("offset").cast("long"))), F.lit(" 0x20 00:0000 "), F.col("length").cast("string"), F.lit(" j 0x30"))
     text = nodes.groupBy(*cfg.KEY).agg(F.concat_ws("\r\n", F.collect_list(line)).alias("output"))
-    return _user(dumps.text_blocks(text), *_long("offset", "length"))
+    return _function(dumps.text_blocks(text), *_long("offset", "length"))
 
 
 @query(f"""
     WITH {_GRAPH_SQL},
-    o AS (SELECT user_id, src, dst, row_number() OVER (PARTITION BY user_id, src ORDER BY dst) AS k, count(*) OVER (PARTITION BY user_id, src) AS n FROM ed),
-    es AS (SELECT user_id, string_agg(src || '->' || dst || '[color="' || CASE WHEN n <> 2 THEN 'dodgerblue' WHEN k = 1 THEN 'crimson' ELSE 'forestgreen' END || '"];', chr(10) ORDER BY src, k) AS t FROM o GROUP BY 1),
-    ns AS (SELECT nd.user_id, string_agg(nd.off || '[comment="(' || nd.off || ',16)"' || CASE WHEN nd.off = rt.off THEN ',shape="rect"' ELSE '' END || '];', chr(10) ORDER BY nd.off) AS t FROM nd JOIN rt ON rt.user_id = nd.user_id GROUP BY 1)
-    SELECT ns.user_id, 'digraph{{' || chr(10) || 'graph[bgcolor=azure,fontsize=8,splines="ortho"];' || chr(10) || 'node[fillcolor=gray,style=filled,shape=box];' || chr(10) || 'edge[arrowhead=normal];' || chr(10) || chr(10)
+    o AS (SELECT function_id, src, dst, row_number() OVER (PARTITION BY function_id, src ORDER BY dst) AS k, count(*) OVER (PARTITION BY function_id, src) AS n FROM ed),
+    es AS (SELECT function_id, string_agg(src || '->' || dst || '[color="' || CASE WHEN n <> 2 THEN 'dodgerblue' WHEN k = 1 THEN 'crimson' ELSE 'forestgreen' END || '"];', chr(10) ORDER BY src, k) AS t FROM o GROUP BY 1),
+    ns AS (SELECT nd.function_id, string_agg(nd.off || '[comment="(' || nd.off || ',16)"' || CASE WHEN nd.off = rt.off THEN ',shape="rect"' ELSE '' END || '];', chr(10) ORDER BY nd.off) AS t FROM nd JOIN rt ON rt.function_id = nd.function_id GROUP BY 1)
+    SELECT ns.function_id, 'digraph{{' || chr(10) || 'graph[bgcolor=azure,fontsize=8,splines="ortho"];' || chr(10) || 'node[fillcolor=gray,style=filled,shape=box];' || chr(10) || 'edge[arrowhead=normal];' || chr(10) || chr(10)
            || ns.t || chr(10) || coalesce(es.t, '') || chr(10) || '}}' || chr(10) AS dot
-    FROM ns LEFT JOIN es ON es.user_id = ns.user_id
+    FROM ns LEFT JOIN es ON es.function_id = ns.function_id
 """)
 def dot_export(spark, sf_dir):
-    return _user(cfg.to_dot(*_transitions(spark, sf_dir)), "dot")
+    return _function(cfg.to_dot(*_transitions(spark, sf_dir)), "dot")
 
 
-@query(f"WITH {_GRAPH_SQL} SELECT user_id, src, dst, CAST(row_number() OVER (PARTITION BY user_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
+@query(f"WITH {_GRAPH_SQL} SELECT function_id, src, dst, CAST(row_number() OVER (PARTITION BY function_id, src ORDER BY dst) - 1 AS INTEGER) AS pos FROM ed")
 def dot_round_trip(spark, sf_dir):
     dots = written(cfg.to_dot(*_transitions(spark, sf_dir)), "dots")
-    return _user(dot_source.parse(dots)[1], *_long("src", "dst"), "pos")
+    return _function(dot_source.parse(dots)[1], *_long("src", "dst"), "pos")
 
 
 @query()
 def generic_dot(spark, sf_dir):
-    return _user(graph.to_dot(*_transitions(spark, sf_dir)), "dot")
+    return _function(graph.to_dot(*_transitions(spark, sf_dir)), "dot")
 
 
 # -- vectors
@@ -474,39 +477,49 @@ def cosine_pairs(spark, sf_dir):
 
 
 @query("""
-    WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
-    n AS (SELECT vec_id, label, sum(CAST(x AS DOUBLE) * x) AS norm2 FROM e GROUP BY 1, 2),
-    p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(CAST(a.x AS DOUBLE) * b.x) AS dot FROM e a JOIN e b ON a.label = b.label AND a.k = b.k AND a.vec_id < b.vec_id GROUP BY 1, 2)
+    WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+    n AS (SELECT vec_id, sum(CAST(x AS DOUBLE) * x) AS norm2 FROM e GROUP BY 1),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(CAST(a.x AS DOUBLE) * b.x) AS dot FROM e a JOIN e b ON a.k = b.k AND a.vec_id < b.vec_id GROUP BY 1, 2)
     SELECT a, b, round(dot / (sqrt(x.norm2) * sqrt(y.norm2)), 6) AS similarity FROM p JOIN n x ON x.vec_id = a JOIN n y ON y.vec_id = b WHERE dot / (sqrt(x.norm2) * sqrt(y.norm2)) > 0.25
 """)
 def dense_cosine_pairs(spark, sf_dir):
-    """Dense vectors, compared inside their labels."""
-    rows = V.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    a = rows.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
-    b = rows.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").filter("a < b").withColumn("similarity", vectors.dense_cosine(F.col("x"), F.col("y")))
-    return pairs.filter("similarity > 0.25").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """All pairs of dense vectors over a low threshold."""
+    pairs = vectors.similar_dense(V.table(spark, sf_dir, "embeddings"), 0.25, "vec_id", "embedding")
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _digests(members: DataFrame, value: Column, *more: str) -> DataFrame:
+    """A row a class: its size and sums that tell which members it has. They
+    combine before the shuffle, so no class is gathered."""
+    return members.groupBy("class_key", *more).agg(F.count(F.lit(1)).alias("size"), F.sum(value).alias("id_sum"), F.sum(value * value).alias("id_squares")).drop("class_key")
+
 
+_DIGEST = "count(*) AS size, CAST(sum({0}) AS BIGINT) AS id_sum, CAST(sum({0} * {0}) AS BIGINT) AS id_squares"
 
-def _as_lists(members: DataFrame, *more: str) -> DataFrame:
-    """Classes as joined lists, for comparison; classes are small here."""
-    listed = F.concat_ws(",", F.sort_array(F.collect_list("function_id")))
-    return members.groupBy("class_key", *more).agg(listed.alias("members"), F.count(F.lit(1)).alias("size")).drop("class_key")
+def _number(name: str) -> Column:
+    return F.col(name).cast("long")
 
 
 @query(f"""
     WITH {_EVENT_PAIRS},
-    s AS (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY CAST(b AS VARCHAR)) AS members, count(*) AS size FROM pr WHERE sim > 0.99 GROUP BY 1)
-    SELECT DISTINCT members, size FROM s WHERE size > 1
+    s AS (SELECT a, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS members, {_DIGEST.format("b")} FROM pr WHERE sim > 0.99 GROUP BY 1)
+    SELECT size, id_sum, id_squares FROM (SELECT DISTINCT members, size, id_sum, id_squares FROM s) WHERE size > 1
 """)
 def semantic_classes(spark, sf_dir):
-    return _as_lists(semantic.semantic_members(vectors.vectors(_event_counts(spark, sf_dir))))
+    return _digests(semantic.semantic_members(vectors.vectors(_event_counts(spark, sf_dir))), _number("function_id"))
 
 
-@query("SELECT source, count(DISTINCT lang) > 1 AS differ FROM documents GROUP BY 1")
+@query("""
+    SELECT 'lang and parity' AS what, count(DISTINCT (lang, doc_id % 2)) > 1 AS differ FROM documents WHERE lang IS NOT NULL
+    UNION ALL SELECT 'even ones of the first lang', count(DISTINCT (lang, doc_id % 2)) > 1 FROM documents WHERE doc_id % 2 = 0 AND lang = (SELECT min(lang) FROM documents)
+""")
 def arch_homogeneity(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "documents").groupBy("source")
-    return rows.agg((F.countDistinct("lang") > 1).alias("differ"))
+    """Languages as architectures, the id's parity as bits."""
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("arch"), (F.col("doc_id") % 2).cast("int").alias("bits")).filter("arch is not null")
+    first = rows.agg(F.min("arch").alias("arch"))
+    alike = rows.filter("bits = 0").join(F.broadcast(first), "arch", "left_semi")
+    mixed = results.architectures_differ(rows).withColumn("what", F.lit("lang and parity"))
+    return mixed.unionByName(results.architectures_differ(alike).withColumn("what", F.lit("even ones of the first lang")))
 
 
 # -- structural and combined classes
@@ -520,20 +533,20 @@ _TREES = """
 
 @query(f"""
     WITH {_TREES}
-    SELECT string_agg(function_id, ',' ORDER BY function_id) AS members, count(*) AS size, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
+    SELECT {_DIGEST.format("o_custkey")}, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
     FROM d GROUP BY k HAVING count(*) > 1
 """)
 def structural_classes(spark, sf_dir):
-    return _as_lists(structural.structural_members(V.order_trees(spark, sf_dir), 2), "class_depth")
+    return _digests(structural.structural_members(V.order_trees(spark, sf_dir), 2), _number("function_id"), "class_depth")
 
 
 @query(f"""
     WITH {_TREES}
-    SELECT string_agg(function_id, ',' ORDER BY function_id) AS members, count(*) AS size, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
+    SELECT {_DIGEST.format("o_custkey")}, CAST(arg_min(depth, (binary_id, function_id, node_id)) AS INTEGER) AS class_depth
     FROM d GROUP BY k, p HAVING count(*) > 1
 """)
 def strict_structural_classes(spark, sf_dir):
-    return _as_lists(structural.structural_members(V.order_trees(spark, sf_dir), 2, strict=True), "class_depth")
+    return _digests(structural.structural_members(V.order_trees(spark, sf_dir), 2, strict=True), _number("function_id"), "class_depth")
 
 
 def _depth_classes(spark, sf_dir):
@@ -589,34 +602,139 @@ def class_summary(spark, sf_dir):
     pd AS (SELECT DISTINCT a, b FROM pr),
     sm AS (SELECT a, b FROM pd JOIN v x ON x.o_custkey = a JOIN v y ON y.o_custkey = b AND x.op = y.op JOIN nr p ON p.o_custkey = a JOIN nr q ON q.o_custkey = b
            GROUP BY 1, 2 HAVING CAST(sum(x.n * y.n) AS BIGINT) / (sqrt(CAST(any_value(p.norm2) AS DOUBLE)) * sqrt(CAST(any_value(q.norm2) AS DOUBLE))) > 0.97),
-    g AS (SELECT pr.k, pr.a, string_agg(d.function_id || '.' || d.node_id, ',' ORDER BY d.function_id || '.' || d.node_id) AS members, count(*) AS size
+    g AS (SELECT pr.k, pr.a, string_agg(CAST(d.node_id AS VARCHAR), ',' ORDER BY d.node_id) AS members, {_DIGEST.format("d.node_id")}
           FROM pr JOIN sm USING (a, b) JOIN d ON d.k = pr.k AND d.o_custkey = pr.b GROUP BY 1, 2)
-    SELECT DISTINCT k AS struct_key, members, size FROM g WHERE size > 1
+    SELECT struct_key, size, id_sum, id_squares FROM (SELECT DISTINCT k AS struct_key, members, size, id_sum, id_squares FROM g) WHERE size > 1
 """)
 def combined_classes(spark, sf_dir):
     tree = V.order_trees(spark, sf_dir)
     members = structural.structural_members(tree, 2)
     vecs = vectors.vectors(vectors.opcode_counts(V.customer_opcodes(spark, sf_dir), F.col("opcode")))
     found = combined.combined_members(members, vecs, 0.97).join(tree.select("binary_id", "function_id", "node_id", "struct_key"), structural.MEMBER)
-    name = F.concat_ws(".", "function_id", F.col("node_id").cast("string"))
-    rows = found.groupBy("class_key", "struct_key").agg(F.concat_ws(",", F.sort_array(F.collect_list(name))).alias("members"), F.count(F.lit(1)).alias("size"))
-    return rows.drop("class_key")
+    return _digests(found, _number("node_id"), "struct_key")
+
+
+# -- structures: shapes whose trees follow from the rules
+
+_CHAINS = "p AS (SELECT p_partkey, CAST(p_partkey % {n} AS INTEGER) AS k, p_size % 3 + 1 AS m, p_size // 3 % 3 + 1 AS q FROM part)"
+
+
+def _shape_values(shapes, nested: bool = False) -> str:
+    """(k, n, labels, depth): the outermost structures, or all of them."""
+    rows = []
+    for k, shape in enumerate(shapes):
+        kept = shape.nested if nested else shape.nested[-1:]
+        rows += [f"({k}, {len(shape.edges)}, '{labels}', {depth})" for labels, depth in kept] or [f"({k}, {len(shape.edges)}, NULL, NULL)"]
+    return f"s(k, n, labels, depth) AS (VALUES {', '.join(rows)})"
+
+
+def _whole(labels: str) -> str:
+    """The labels of a chain, a shape and another chain, as one sequence."""
+    return f"repeat('Basic|', CAST(m AS INTEGER)) || {labels} || repeat('|Basic', CAST(q AS INTEGER)) || '|Sequence'"
+
+
+def _reduced_shapes(spark, sf_dir, shapes) -> DataFrame:
+    return structure.reduce_functions(*cfg.from_bare(*V.shape_graphs(spark, sf_dir, shapes)))
+
+
+def _register_rule(name: str, shapes) -> None:
+    """A query for each rule, over functions that call for it."""
+
+    def rule(spark, sf_dir):
+        tree = F.try_element_at("tree", F.lit(-1))
+        return _function(_reduced_shapes(spark, sf_dir, shapes), "reduced", "residual_nodes", tree["block_type"].alias("root_type"), tree["depth"].alias("depth"), tree["struct_key"].alias("struct_key"))
+
+    rule.__name__ = f"cfs_{name}"
+    rule.__doc__ = f"Trees of functions made for the rule: {name.replace('_', ' ')}."
+    # a graph that can't be reduced keeps its shape, and a node for each chain
+    query(f"""
+    WITH {_CHAINS.format(n=len(shapes))}, {_shape_values(shapes)}
+    SELECT CAST(p_partkey AS VARCHAR) AS function_id, labels IS NOT NULL AS reduced, CAST(CASE WHEN labels IS NULL THEN n + 2 ELSE 1 END AS INTEGER) AS residual_nodes,
+           CASE WHEN labels IS NOT NULL THEN 'Sequence' END AS root_type, CAST(depth + 1 AS INTEGER) AS depth, {_whole("labels")} AS struct_key
+    FROM p JOIN s USING (k)
+""")(rule)
+
+
+for _name, _shapes in V.SHAPES.items():
+    _register_rule(_name, _shapes)
+
+_SHAPE_NODES = f"""
+    {_CHAINS.format(n=len(V.ALL_SHAPES))}, {_shape_values(V.ALL_SHAPES, nested=True)},
+    o AS (SELECT k, max(depth) AS depth FROM s GROUP BY 1),
+    nodes AS (SELECT p_partkey, labels AS key, depth FROM p JOIN s USING (k) WHERE depth >= 2
+              UNION ALL SELECT p_partkey, {_whole("labels")}, s.depth + 1 FROM p JOIN s USING (k) JOIN o USING (k) WHERE s.depth = o.depth AND s.depth >= 1),
+    classes AS (SELECT key, CAST(any_value(depth) AS INTEGER) AS class_depth, count(*) AS size, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM nodes GROUP BY 1 HAVING count(*) > 1)
+"""
+
+_SHAPE_VECTORS = """
+    v AS (SELECT p_partkey AS f, 1 + p_partkey % 4 AS x, p_partkey % 3 AS y, p_size % 2 AS z FROM part WHERE p_partkey % 7 <> 0),
+    w AS (SELECT DISTINCT x, y, z, CAST(x * x + y * y + z * z AS DOUBLE) AS norm2 FROM v),
+    near AS (SELECT a.x, a.y, a.z, b.x AS u, b.y AS v, b.z AS t FROM w a JOIN w b ON (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.norm2) * sqrt(b.norm2)) > 0.9)
+"""
+
+
+def shape_corpus(spark, sf_dir) -> Corpus:
+    blocks, edges, roots = V.shape_graphs(spark, sf_dir, V.ALL_SHAPES)
+    binaries = spark.createDataFrame([("shapes", "/bin/shapes", "x86", 64)], "binary_id string, path string, arch string, bits int")
+    return Corpus(binaries, V.shape_statements(spark, sf_dir), blocks, edges, roots)
+
+
+@query(f"""
+    WITH {_SHAPE_NODES},
+    kept AS (SELECT size, max(class_depth) AS class_depth, members FROM classes GROUP BY size, members),
+    first AS (SELECT *, (SELECT min(x) FROM unnest(string_split(members, ',')) t(x)) AS one FROM kept),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY size DESC, one, class_depth) - 1 AS clone_class_id FROM first)
+    SELECT clone_class_id, class_depth, size, unnest(string_split(members, ',')) AS function_id FROM numbered
+""")
+def detect_structural_shapes(spark, sf_dir):
+    """The structural pipeline on functions of known shapes."""
+    rows = detect_clones(shape_corpus(spark, sf_dir), "structural", min_depth=2, sort="size-desc")
+    return rows.select("clone_class_id", "class_depth", "size", "function_id")
+
+
+@query(f"""
+    WITH {_SHAPE_VECTORS},
+    m AS (SELECT near.x, near.y, near.z, f FROM near JOIN v ON v.x = near.u AND v.y = near.v AND v.z = near.t),
+    g AS (SELECT string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS members, {_DIGEST.format("f")} FROM m GROUP BY x, y, z)
+    SELECT size, id_sum, id_squares FROM (SELECT DISTINCT members, size, id_sum, id_squares FROM g) WHERE size > 1
+""")
+def detect_semantic_shapes(spark, sf_dir):
+    """The semantic pipeline; functions without a statement take no part."""
+    rows = detect_clones(shape_corpus(spark, sf_dir), "semantic", min_similarity=0.9)
+    return _digests(rows.drop("class_key", "size").withColumnRenamed("clone_class_id", "class_key"), _number("function_id"))
+
+
+@query(f"""
+    WITH {_SHAPE_NODES}, {_SHAPE_VECTORS},
+    held AS (SELECT nodes.key, class_depth, f, v.x, v.y, v.z FROM nodes JOIN classes USING (key) JOIN v ON v.f = nodes.p_partkey),
+    seeds AS (SELECT DISTINCT key, x, y, z FROM held),
+    m AS (SELECT s.key, s.x, s.y, s.z, h.class_depth, h.f FROM seeds s JOIN near n ON n.x = s.x AND n.y = s.y AND n.z = s.z JOIN held h ON h.key = s.key AND h.x = n.u AND h.y = n.v AND h.z = n.t),
+    g AS (SELECT string_agg(CAST(f AS VARCHAR), ',' ORDER BY f) AS members, any_value(class_depth) AS class_depth, {_DIGEST.format("f")} FROM m GROUP BY key, x, y, z)
+    SELECT max(class_depth) AS class_depth, any_value(size) AS size, any_value(id_sum) AS id_sum, any_value(id_squares) AS id_squares FROM g WHERE size > 1 GROUP BY members
+""")
+def detect_combined_shapes(spark, sf_dir):
+    """The combined pipeline, the deepest of classes with equal functions."""
+    rows = detect_clones(shape_corpus(spark, sf_dir), "combined", min_depth=2, min_similarity=0.9)
+    return _digests(rows.drop("class_key", "size").withColumnRenamed("clone_class_id", "class_key"), _number("function_id"), "class_depth")
+
+
+# -- structures of event-made functions and pages
 
 
 @query()
 def cfs_reduce(spark, sf_dir):
     """Trees of the event-made functions, held against worked examples."""
-    graphs = cfg.from_statements(V.event_statements(spark, sf_dir), V.event_ends(spark, sf_dir), F.lit("x86"))
+    graphs = _event_graphs(spark, sf_dir)
     reduced = structure.reduce_functions(*graphs)
     tree = F.try_element_at("tree", F.lit(-1))
-    return _user(reduced, "reduced", "residual_nodes", tree["block_type"].alias("root_type"), tree["depth"].alias("depth"), tree["struct_key"].alias("struct_key"))
+    return _function(reduced, "reduced", "residual_nodes", tree["block_type"].alias("root_type"), tree["depth"].alias("depth"), tree["struct_key"].alias("struct_key"))
 
 
 @query()
 def cfs_tree_nodes(spark, sf_dir):
     reduced = structure.reduce_functions(*_transitions(spark, sf_dir))
     rows = structure.tree_nodes(reduced)
-    return _user(rows, "node_id", "parent_id", "child_pos", "block_type", "depth", *_long("offset"), B.block_list(F.col("basic_blocks")).alias("basic_blocks"))
+    return _function(rows, "node_id", "parent_id", "child_pos", "block_type", "depth", *_long("offset"), B.block_list(F.col("basic_blocks")).alias("basic_blocks"))
 
 
 @query()
@@ -624,7 +742,7 @@ def cfs_dot(spark, sf_dir):
     graphs = _transitions(spark, sf_dir)
     reduced = written(structure.reduce_functions(*graphs, drawn=True), "reduced")
     clustered = structure.clustered_dot(reduced, cfg.to_dot(*graphs))
-    return _user(clustered.join(structure.tree_dot(reduced).withColumnRenamed("dot", "tree_dot"), cfg.KEY), "dot", "tree_dot")
+    return _function(clustered.join(structure.tree_dot(reduced).withColumnRenamed("dot", "tree_dot"), cfg.KEY), "dot", "tree_dot")
 
 
 @query()
@@ -638,7 +756,7 @@ def page_classes(spark, sf_dir):
 
 def event_corpus(spark, sf_dir) -> Corpus:
     statements = V.event_statements(spark, sf_dir)
-    nodes, edges = cfg.from_statements(statements, V.event_ends(spark, sf_dir), F.lit("x86"))
+    nodes, edges = cfg.from_statements(statements, V.ends_of(statements), F.lit("x86"))
     binaries = spark.createDataFrame([("events", "/bin/events", "x86", 64)], "binary_id string, path string, arch string, bits int")
     roots = nodes.filter("is_root").select(*cfg.KEY, F.col("offset").alias("root"))
     return Corpus(binaries, statements, nodes.select(*cfg.KEY, "offset", "length"), edges.select(*cfg.KEY, "src", "dst"), roots)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .model import ADDRESS
+from .operators.common import numbered, written
 
-#: Statements that an event-made function has, four bytes each.
-STATEMENTS_PER_USER = 24
+#: Statements of an event-made function, four bytes each.
+STATEMENTS = 24
 
-#: Events whose order makes the graph of a user.
-EVENTS_PER_USER = 12
+#: Events whose order makes a graph.
+EVENTS = 12
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -20,29 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _placed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _placed_events(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:
+    """All events, each user's dealt into functions of ``length`` in their
+    order: (binary_id, function_id, pos, event_id, event_type)."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
-    return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("int"))
-
-
-def _function(column: str) -> list[Column]:
-    return [F.lit("events").alias("binary_id"), F.col(column).cast("string").alias("function_id")]
+    rows = numbered(rows, [F.col("ts"), F.col("event_id")], "place", ["user_id"])
+    function = F.concat_ws(".", F.col("user_id").cast("string"), F.floor(F.col("place") / length).cast("string"))
+    return rows.select(F.lit("events").alias("binary_id"), function.alias("function_id"), (F.col("place") % length).cast("int").alias("pos"), "event_id", "event_type")
 
 
 def event_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first events as x86 statements."""
-    rows = _placed_events(spark, sf_dir).filter(F.col("pos") < STATEMENTS_PER_USER)
+    """All events as x86 statements."""
+    rows = _placed_events(spark, sf_dir, STATEMENTS)
     to = F.concat(F.lit("0x"), F.lower(F.hex(F.col("event_id") % 40 * 4)))
     pick = lambda *texts: F.element_at(F.create_map(*(x for pair in zip(map(F.lit, EVENT_TYPES), texts, strict=True) for x in pair)), F.col("event_type"))
     instruction = pick(F.lit("mov eax, 1"), F.lit("ret"), F.concat(F.lit("je "), to), F.concat(F.lit("jmp "), to), F.lit("cmp eax, 2"))
     family = pick(*map(F.lit, ("mov", "ret", "cjmp", "jmp", "cmp")))
-    return rows.select(*_function("user_id"), "pos", (F.col("pos") * 4).cast(ADDRESS).alias("offset"), family.alias("family"), instruction.alias("instruction"))
+    rows = rows.select("binary_id", "function_id", "pos", (F.col("pos") * 4).cast(ADDRESS).alias("offset"), family.alias("family"), instruction.alias("instruction"))
+    return written(rows, "event_statements")
 
 
-def event_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, fn_end) of ``event_statements``."""
-    return event_statements(spark, sf_dir).groupBy("binary_id", "function_id").agg((F.max("offset") + 4).cast(ADDRESS).alias("fn_end"))
+def ends_of(statements: DataFrame) -> DataFrame:
+    """(key, fn_end) of statements of four bytes."""
+    return statements.groupBy("binary_id", "function_id").agg((F.max("offset") + 4).cast(ADDRESS).alias("fn_end"))
 
 
 def _type_offset() -> Column:
@@ -51,7 +54,8 @@ def _type_offset() -> Column:
 
 def transition_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, edges, roots): event types and what follows them."""
-    rows = _placed_events(spark, sf_dir).filter(F.col("pos") < EVENTS_PER_USER).select(*_function("user_id"), "pos", _type_offset().alias("offset"))
+    rows = _placed_events(spark, sf_dir, EVENTS).select("binary_id", "function_id", "pos", _type_offset().alias("offset"))
+    rows = written(rows, "event_graphs")
     after = F.lead("offset").over(Window.partitionBy("binary_id", "function_id").orderBy("pos"))
     edges = rows.withColumn("dst", after).filter("dst is not null").select("binary_id", "function_id", F.col("offset").alias("src"), "dst")
     blocks = rows.select("binary_id", "function_id", "offset", F.lit(16).cast(ADDRESS).alias("length")).distinct()
@@ -82,3 +86,107 @@ def customer_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("function_id"),
         F.concat("l_returnflag", "l_linestatus").alias("opcode"),
     )
+
+
+@dataclass(frozen=True)
+class Shape:
+    """A graph made for one rule. ``edges`` lists the successors of each node;
+    one past the last node is where the shape leads. ``nested`` holds the
+    labels and depth of each of its structures, the outermost last; there are
+    none if the shape can't be reduced."""
+
+    edges: tuple[tuple[int, ...], ...]
+    nested: tuple[tuple[str, int], ...]
+
+
+def _basic(n: int) -> str:
+    return "|".join(["Basic"] * n)
+
+
+def _over(n: int, label: str) -> tuple[tuple[str, int], ...]:
+    return ((f"{_basic(n)}|{label}", 1),)
+
+
+#: Shapes by the rule that they call for. A graph is a chain of blocks, a shape
+#: and another chain.
+SHAPES: dict[str, tuple[Shape, ...]] = {
+    "sequence": (Shape(((1,),), (("Basic", 0),)),),
+    "self_loop": (Shape(((0, 1),), _over(1, "SelfLooping")),),
+    "while": (
+        Shape(((1, 2), (0,)), _over(2, "While")),
+        Shape(((1, 4), (2, 3), (1,), (0,)), (("Basic|Basic|While", 1), ("Basic|Basic|While|Basic|Sequence", 2), ("Basic|Basic|Basic|While|Basic|Sequence|While", 3))),
+        # the inner head's first way out leads back to it, which hides the other
+        Shape(((1, 3), (0, 2), (1,)), ()),
+    ),
+    "do_while": (
+        Shape(((1,), (0, 2)), _over(2, "DoWhile")),
+        Shape(((1,), (2, 3), (0,)), _over(3, "DoWhile")),
+        Shape(((1,), (2,), (0, 3)), (("Basic|Basic|Sequence", 1), ("Basic|Basic|Sequence|Basic|DoWhile", 2))),
+        Shape(((1,), (2,), (1, 3), (0, 4)), (("Basic|Basic|DoWhile", 1), ("Basic|Basic|Basic|DoWhile|Sequence", 2), ("Basic|Basic|Basic|DoWhile|Sequence|Basic|DoWhile", 3))),
+        Shape(
+            ((1,), (2, 3), (2, 4), (4,), (0, 5)),
+            (
+                ("Basic|SelfLooping", 1), ("Basic|Basic|SelfLooping|Basic|IfThenElse", 2), ("Basic|Basic|Basic|SelfLooping|Basic|IfThenElse|Sequence", 3),
+                ("Basic|Basic|Basic|SelfLooping|Basic|IfThenElse|Sequence|Basic|DoWhile", 4),
+            ),
+        ),
+    ),
+    "if_then": (Shape(((1, 2), (2,)), _over(2, "IfThen")),),
+    "if_else": (Shape(((1, 2), (3,), (3,)), _over(3, "IfThenElse")),),
+    "if_chain": (
+        Shape(((1, 3), (2, 3), (3,)), _over(3, "IfThen")),
+        Shape(((1, 4), (2, 4), (3, 4), (4,)), _over(4, "IfThen")),
+        Shape(((1, 3), (2, 3), (3, 4), (5,), (5,)), _over(5, "IfThenElse")),
+    ),
+    "switch": (
+        Shape(((1, 2, 3), (4,), (4,), (4,)), _over(4, "Switch")),
+        Shape(((1, 2, 3, 4, 5), (6,), (6,), (6,), (6,), (6,)), _over(6, "Switch")),
+        Shape(((1, 2, 3), (2,), (4,), (4,)), _over(4, "Switch")),
+    ),
+    "proper_interval": (
+        Shape(((1, 2), (2, 3), (3,)), _over(3, "ProperInterval")),
+        Shape(((1, 2), (3, 4), (4,), (5,), (5,)), _over(5, "ProperInterval")),
+        Shape(((1, 2), (3, 4), (3, 4), (5,), (5,)), _over(5, "ProperInterval")),
+    ),
+    "improper_interval": (Shape(((1, 2), (2, 3), (1, 3)), _over(3, "ImproperInterval")),),
+    "natural_loops": (
+        Shape(((1, 3), (2, 3), (0,)), (("Basic|Basic|Sequence", 1), ("Basic|Basic|Basic|Sequence|While", 2))),
+        Shape(((1,), (2, 3), (0, 3)), (("Basic|Basic|Sequence", 1), ("Basic|Basic|Sequence|Basic|DoWhile", 2))),
+    ),
+    "irreducible": (Shape(((1, 2), (3, 4), (4, 5), (6,), (6,), (6,)), ()),),
+}
+
+ALL_SHAPES = tuple(shape for shapes in SHAPES.values() for shape in shapes)
+
+
+def shape_graphs(spark: SparkSession, sf_dir: str, shapes: tuple[Shape, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, edges, roots): each part's function is one of ``shapes`` in
+    turn between two chains of one to three blocks. One edge of each leads to
+    no block and is to be dropped."""
+    k = (F.col("p_partkey") % len(shapes)).cast("int")
+    size = F.col("p_size")
+    sizes = F.array(*(F.lit(len(s.edges)) for s in shapes))
+    rows = table(spark, sf_dir, "part").select(
+        F.lit("shapes").alias("binary_id"), F.col("p_partkey").cast("string").alias("function_id"), k.alias("k"),
+        (size % 3 + 1).cast("int").alias("m"), F.element_at(sizes, k + 1).alias("n"), (F.floor(size / 3) % 3 + 1).cast("int").alias("q"),
+    )
+    at = lambda place: ((place + 1) * 16).cast(ADDRESS)
+    steps = F.array(*(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, out in enumerate(s.edges) for b in out)) for s in shapes))
+    chain = lambda start, count: F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((start + i).alias("a"), (start + i + 1).alias("b")))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    middle = F.transform(F.element_at(steps, F.col("k") + 1), lambda x: F.struct((x["a"] + F.col("m")).alias("a"), (x["b"] + F.col("m")).alias("b")))
+    lost = F.array(F.struct(F.lit(0).alias("a"), F.lit(10**6).alias("b")))
+    edges = F.concat(chain(F.lit(0), F.col("m")), middle, chain(F.col("m") + F.col("n"), F.col("q") - 1), lost)
+    key = ["binary_id", "function_id"]
+    edges = rows.select(*key, F.explode(edges).alias("x")).select(*key, at(F.col("x.a")).alias("src"), at(F.col("x.b")).alias("dst"))
+    blocks = rows.select(*key, F.explode(F.sequence(F.lit(0), F.col("m") + F.col("n") + F.col("q") - 1)).alias("i"))
+    blocks = blocks.select(*key, at(F.col("i")).alias("offset"), F.lit(16).cast(ADDRESS).alias("length"))
+    return blocks, edges, rows.select(*key, F.lit(16).cast(ADDRESS).alias("root"))
+
+
+def shape_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few statements for each part's function, none for every seventh."""
+    key = F.col("p_partkey")
+    counts = {"mov": 1 + key % 4, "add": key % 3, "cmp": F.col("p_size") % 2}
+    parts = [F.array_repeat(F.lit(name), n.cast("int")) for name, n in counts.items()]
+    rows = table(spark, sf_dir, "part").filter(key % 7 != 0).select(F.lit("shapes").alias("binary_id"), key.cast("string").alias("function_id"), F.posexplode(F.concat(*parts)).alias("pos", "family"))
+    return rows.select("binary_id", "function_id", "pos", (F.col("pos") * 4).cast(ADDRESS).alias("offset"), "family", F.concat("family", F.lit(" eax")).alias("instruction"))
