@@ -3,8 +3,9 @@
 A byte-level BPE tokenizer cuts a text into pieces by a pattern and encodes
 each on its own, so ids of equal pieces are equal. Texts are cut here at places
 where that pattern always cuts, and each worker keeps the ids of the chunks it
-has met, so that the tokenizer encodes a frequent chunk once. Tokenizers of
-another make get whole texts.
+has met, so that the tokenizer encodes a frequent chunk once. Texts that hold
+an added token (``<|endoftext|>``) and tokenizers of another make are encoded
+whole, so ids are always those that the library gives for the whole text.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ import pyarrow as pa
 #: Characters of text encoded in one step; a longer text forms a step alone.
 STEP_CHARS = 1 << 20
 
-#: Chunks whose ids a worker keeps, besides those of a step; the older half
-#: goes when there are more.
-MOST_CHUNKS = 1_200_000
+#: Bytes that the chunks which a worker keeps may take, besides those of a
+#: step; the older half goes when they take more.
+MOST_BYTES = 200 << 20
+
+#: What a kept chunk takes besides its text and ids: a string, a number, their
+#: place in a dict, and two bounds.
+BYTES_PER_CHUNK = 180
 
 #: Chunks joined for one call of the tokenizer.
 JOINED = 2000
@@ -144,14 +149,13 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
         spec = json.loads(self.plain.to_str())
         pre, special = spec["pre_tokenizer"] or {}, [t for t in spec["added_tokens"] if t["special"]]
+        self.added = [t["content"] for t in spec["added_tokens"]]
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.cutting = bool(byte_level and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and special)
         if self.cutting:
-            # here the special token is one, and parts chunks from each other
-            self.parting = Tokenizer.from_file(path)
+            # a special token parts chunks from each other
             self.part, self.part_id = special[0]["content"], special[0]["id"]
             self.letters = byte_letters()
             self.model = self.plain.model
@@ -162,6 +166,7 @@ class Tokens:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.held = 0
 
     def _shrink(self) -> None:
         """Forget the older half."""
@@ -169,7 +174,8 @@ class Tokens:
         first = int(self.start[old])
         self.known = Known((w, k - old) for w, k in islice(self.known.items(), old, None))
         self.start, self.length = self.start[old:] - first, self.length[old:]
-        self.pool = self.pool[first:]
+        self.pool = self.pool[first:].copy()
+        self.held = sum(map(len, self.known)) + BYTES_PER_CHUNK * len(self.known) + self.pool.nbytes
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one piece, straight from the model."""
@@ -180,9 +186,9 @@ class Tokens:
         return [t.id for t in self.model.tokenize(written)]
 
     def _joined(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of chunks that don't hold the special token, parted by it."""
+        """Ids of chunks, parted by the special token, which none holds."""
         joined = [self.part.join(parts[k : k + JOINED]) + self.part for k in range(0, len(parts), JOINED)]
-        ids = [np.array(e.ids, np.uint32) for e in self.parting.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         ends = np.flatnonzero(flat == self.part_id)
         return [x[:-1] for x in np.split(flat, ends + 1)[:-1]]
@@ -191,12 +197,8 @@ class Tokens:
         """Ids of chunks, one after another, and how many each has."""
         lists: list = [self._piece(w) if _PIECE.fullmatch(w) else None for w in new]
         rest = [k for k, ids in enumerate(lists) if ids is None]
-        plain = [k for k in rest if self.part not in new[k]]
-        for k, ids in zip(plain, self._joined([new[k] for k in plain]), strict=True):
+        for k, ids in zip(rest, self._joined([new[k] for k in rest]), strict=True):
             lists[k] = ids.tolist()
-        for k in rest:
-            if lists[k] is None:
-                lists[k] = self.plain.encode(new[k], add_special_tokens=False).ids
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(length.sum())), length
 
@@ -205,6 +207,7 @@ class Tokens:
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.pool = np.concatenate([self.pool, ids])
+        self.held += sum(map(len, new)) + BYTES_PER_CHUNK * len(new) + ids.nbytes
 
     def _cut(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
         """Chunks of each text or None, ids of all chunks, and their bounds."""
@@ -213,9 +216,9 @@ class Tokens:
             raw = [t.encode() for t in texts]
             bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
             flags = doubtful(np.frombuffer(b"".join(raw), np.uint8), bounds)
-            cut = [chunks(t, r, j) for t, r, j in zip(texts, flags[0].tolist(), flags[1].tolist(), strict=True)]
+            cut = [None if any(a in t for a in self.added) else chunks(t, r, j) for t, r, j in zip(texts, flags[0].tolist(), flags[1].tolist(), strict=True)]
         flat = list(chain.from_iterable(c for c in cut if c))
-        if len(self.known) > MOST_CHUNKS:
+        while self.held > MOST_BYTES and len(self.known) > 1:
             self._shrink()
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         if self.known.new:

@@ -15,6 +15,7 @@ EDGE = [
     (7, "été über ñandú 東京 😀 words with accents and other letters in them today", "fr", "c", 10),
     (7, "été über ñandú 東京 😀 words with accents and other letters in them today", "fr", "c", 10),
     (8, "x" * 5000, "en", "a", 5000),
+    (9, "hello <|endoftext|> world, and <|endoftext|>", "en", "a", None),
 ]
 
 

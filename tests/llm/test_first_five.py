@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from cloneloom.llm import exact_dedup, mixing, packing, quality, sharding, tokens
 
@@ -16,8 +17,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # -- packing
 
 
+FRESH = Tokenizer.from_file(tokens.default_tokenizer())
+
+
 def ids_of(text):
-    return [*tokens.load(tokens.default_tokenizer()).plain.encode(text, add_special_tokens=False).ids, 2]
+    return [*FRESH.encode(text, add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
