@@ -8,8 +8,10 @@ proportions that no document's expected copies change. As what one gains in
 words the other loses, a source's words change only by the last document left.
 
 Documents are paired inside leaves of a reduction tree; each leaf hands the
-one document that is left, with its probability, to the next level. Only
-DataFrame functions are used.
+one document that is left, with its probability, to the next level. Rows with
+the same id, text and source are one document with a number of rows: as many
+of them as its probabilities add up to get their extra copy for sure, and what
+is left over is one probability. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import join_groups, rank_in_groups, salts_for, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,9 +39,17 @@ SEED = 20
 #: Sources up to which their table is broadcast.
 MOST_BROADCAST = 100_000
 
-UNIT = "struct<doc_id: bigint, size: bigint, copies: bigint, p: double, h: bigint>"
+#: Rows of one document that a task lists at a time.
+LISTED = 100_000
 
-SETTLED = "struct<doc_id: bigint, size: bigint, copies: bigint, h: bigint>"
+#: ``k`` tells documents apart, ``sure`` are the extra copies so far.
+DOCUMENT = "k: binary, doc_id: bigint, size: bigint, n_rows: bigint, whole: bigint, sure: bigint"
+
+UNIT = f"struct<{DOCUMENT}, p: double, h: bigint>"
+
+SETTLED = f"struct<{DOCUMENT}>"
+
+FIELDS = ("k", "doc_id", "size", "n_rows", "whole")
 
 
 def word_count(column: Column) -> Column:
@@ -78,11 +88,11 @@ def _uniform(h: Column, salt: Column) -> Column:
 
 
 def _settled(unit: Column, extra: Column) -> Column:
-    return F.struct(unit["doc_id"].alias("doc_id"), unit["size"].alias("size"), (unit["copies"] + extra).alias("copies"), unit["h"].alias("h"))
+    return F.struct(*(unit[c].alias(c) for c in FIELDS), (unit["sure"] + extra).alias("sure"))
 
 
 def _with_p(unit: Column, p: Column) -> Column:
-    return F.struct(*(unit[c].alias(c) for c in ("doc_id", "size", "copies")), p.alias("p"), unit["h"].alias("h"))
+    return F.struct(*(unit[c].alias(c) for c in (*FIELDS, "sure")), p.alias("p"), unit["h"].alias("h"))
 
 
 def _meet(state: Column, b: Column) -> Column:
@@ -119,8 +129,8 @@ def _leaf(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rounded(units: DataFrame) -> DataFrame:
-    """(src, doc_id, size, copies, h) of (src int, unit struct) with fractional
-    probabilities.
+    """Documents of (src int, unit struct) with fractional probabilities, with
+    one more ``sure`` copy where that came up.
 
     Levels: hash leaves inside (source, size class) until each class has one
     document left, then the classes of a source, then the last document by its
@@ -146,62 +156,87 @@ def rounded(units: DataFrame) -> DataFrame:
         level = level.withColumn("leaf", F.pmod("leaf", F.lit(leaves)))
     level = settle(level.select("src", "unit"), ["src"])
     last = F.when(_uniform(F.col("unit.h"), F.lit(-1)) < F.col("unit.p"), 1).otherwise(0)
-    out = level.select("src", "unit.doc_id", "unit.size", (F.col("unit.copies") + last).cast("long").alias("copies"), "unit.h")
+    out = level.select("src", *(F.col(f"unit.{c}") for c in FIELDS), (F.col("unit.sure") + last).cast("long").alias("sure"))
     for d in done:
         out = out.unionByName(d)
     return out
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    text = text_of(text_col)
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(text).alias("size"),
-        F.xxhash64(F.col(id_col), text).alias("h"),
-    )
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    """256 bits of a row's id, source and text."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.sha2(F.col(c).cast("string"), 256)), F.lit("-"))
+    return F.unhex(F.sha2(F.concat(part(id_col), part(source_col), F.sha2(text_of(text_col), 256)), 256))
 
 
-def _mixed_rows(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, h) of all documents."""
-    sized = written(_sized(docs, id_col, text_col, source_col), "sizes")
-    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(k, doc_id, size, n_rows, whole, sure, source_size, target), one row
+    for all rows with the same id, source and text: each is taken ``whole``
+    times, and ``sure`` of them once more."""
+    sized = docs.select(
+        _key(id_col, text_col, source_col).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size")
+    )
+    rows = sized.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n_rows"))
+    rows = written(rows, "sizes")
+    sources = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size")), weights, most)
     sources = written(sources.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")).cast("int")), "sources")
     # one row a source: broadcast while that is small, joined by key beyond it
     sources = F.broadcast(sources) if sources.count() <= MOST_BROADCAST else sources
-    per = F.col("target") / F.col("source_size")
     named = sources.withColumnRenamed("source", "_source")
-    rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "h", "src", F.when(F.col("size") > 0, per).otherwise(0.0).alias("per"))
-    whole = F.floor("per").cast("long")
-    rows = rows.withColumn("copies", whole).withColumn("p", F.col("per") - whole)
-    settled = rows.filter("p <= 0").select("src", "doc_id", "size", "copies", "h")
-    units = rows.filter("p > 0").select("src", F.struct("doc_id", "size", "copies", "p", "h").cast(UNIT).alias("unit"))
-    units = written(units, "units")
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_source")))
+    per = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = rows.withColumn("whole", F.floor(per).cast("long")).withColumn("extra", (per - F.floor(per)) * F.col("n_rows"))
+    rows = rows.withColumn("sure", F.floor("extra").cast("long")).withColumn("p", F.col("extra") - F.col("sure"))
+    settled = rows.filter("p <= 0").select("src", *FIELDS, "sure")
+    unit = F.struct(*FIELDS, "sure", "p", F.xxhash64("k").alias("h")).cast(UNIT)
+    units = written(rows.filter("p > 0").select("src", unit.alias("unit")), "units")
     out = settled if units.isEmpty() else settled.unionByName(rounded(units))
-    return out.join(sources, "src").select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), "h")
+    return out.join(sources.select("src", "source_size", "target"), "src").drop("src")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """A row for each of ``n_rows``, with its place ``nth``. Documents of very
+    many rows are cut into parts that are dealt over the cluster."""
+    few, many = rows.filter(F.col("n_rows") <= LISTED), rows.filter(F.col("n_rows") > LISTED)
+    low = few.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1)))
+    start = many.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.lit(LISTED).cast("long")))).repartition("k", "_from")
+    high = start.withColumn("nth", F.explode(F.sequence(F.col("_from"), F.least(F.col("n_rows"), F.col("_from") + LISTED) - 1))).drop("_from")
+    return low.unionByName(high)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
-    ``taken`` is ``size`` times ``copies``. A document without a word is taken
-    0 times. Random choices depend on ids and texts only, so reruns agree;
-    repeated rows count as documents of their own. An empty table stays empty.
+    ``taken`` is ``size`` times ``copies``. A null or empty text, or one without
+    a word, is taken 0 times; a very long one counts with all its words. Null
+    sources are one source, null ids are ids like others. Random choices depend
+    on ids, sources and texts only, so reruns agree; ties don't arise, as keys
+    differ. Repeated rows have a row each, and share their copies out. Other
+    columns are ignored. An empty table stays empty. Sources are told apart in
+    windows over all of them, so there should be millions at most.
     """
-    rows = _mixed_rows(docs, weights, most, id_col, text_col, source_col)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    rows = _listed(written(_taken(docs, weights, most, id_col, text_col, source_col), "taken"))
+    copies = (F.col("whole") + F.when(F.col("nth") < F.col("sure"), 1).otherwise(0)).cast("int")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all
-    its columns. Of rows with the same id and text one takes all their copies.
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, with
+    all its columns, whatever their names.
+
+    Of rows with the same id, source and text the first of some order get the
+    copies that not all can have. Nulls, empty and long texts as in ``mix``; an
+    empty table stays empty.
     """
-    rows = _mixed_rows(docs, weights, most, id_col, text_col, source_col)
-    taken = rows.groupBy("h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("h", "_h")
-    taken = written(taken, "taken")
-    marked = docs.withColumn("_h", F.xxhash64(F.col(id_col), text_of(text_col)))
-    if not taken.filter("_rows > 1").isEmpty():
-        marked = marked.dropDuplicates(["_h"])
+    taken = written(_taken(docs, weights, most, id_col, text_col, source_col).select("k", "n_rows", "whole", "sure"), "taken")
+    rows = docs.select(_key(id_col, text_col, source_col).alias("k"), F.struct("*").alias("row"))
+    several = taken.filter("n_rows > 1")
     # what is taken grows with the documents, so it isn't for broadcasting
-    out = marked.join(taken.filter("_copies > 0").select("_h", "_copies").hint("merge"), "_h")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    once = rows.join(taken.filter("n_rows = 1 and whole + sure > 0").hint("merge"), "k").withColumn("copies", F.col("whole") + F.col("sure"))
+    out = once.select("row", "copies")
+    if not several.isEmpty():
+        n_rows = several.agg(F.sum("n_rows")).first()[0]
+        again = written(join_groups(rows, several, ["k"], "n_rows", n_rows, "merge"), "repeated_rows")
+        nth = rank_in_groups(again, ["k"], ["row"], salts_for(n_rows), "nth")
+        copies = F.col("whole") + F.when(F.col("nth") < F.col("sure"), 1).otherwise(0)
+        out = out.unionByName(nth.select("row", copies.alias("copies")).filter("copies > 0"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
