@@ -138,21 +138,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their
+    names.
+
+    Of equal texts the row with the largest id stays, a null counting as empty
+    text and a null id as less than all; of rows with the same id and text any
+    one stays. Texts of any length are compared whole. An empty table stays
+    empty.
+    """
     groups = written(exact_groups(docs, id_col, text_col), "exact_groups")
-    marked = docs.withColumn("_sha", F.sha2(text_of(text_col), 256))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(text_of(text_col), 256).alias("sha"))
 
     def same(other: DataFrame):
-        return F.col(id_col).eqNullSafe(other["_id"]) & (F.col("_sha") == other["_text"])
+        return F.col("id").eqNullSafe(other["_id"]) & (F.col("sha") == other["_sha"])
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"))
+        return rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
 
     dropped = named(groups.filter("not kept")).distinct()
-    out = marked.join(dropped, same(dropped), "left_anti")
+    out = rows.join(dropped, same(dropped), "left_anti")
     twice = groups.filter("kept and group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1")
     twice = written(named(twice), "repeated_rows")
     if not twice.isEmpty():
-        once = out.join(twice, same(twice), "left_semi").dropDuplicates([id_col, "_sha"])
+        once = out.join(twice, same(twice), "left_semi").dropDuplicates(["id", "sha"])
         out = out.join(twice, same(twice), "left_anti").unionByName(once)
-    return out.drop("_sha")
+    return out.select("row.*")
