@@ -43,20 +43,47 @@ CONFIDENT = 0.9
 
 SPAN = "array<struct<s: int, e: int>>"
 
+FOUND = "array<struct<s: int, e: int, value: string>>"
+
+#: Matches whose positions are summed up at once.
+BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
 def _found(text: Column, pattern: str) -> Column:
-    """Array of (s, e, value) of all matches; code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s: int, e: int, value: string>>").alias("out"))
+    """Array of (s, e, value) of all matches; code points, end exclusive.
+
+    Positions are summed up inside blocks of ``BLOCK`` matches and then over
+    the blocks, as adding to one long array would copy it for every match.
+    """
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    none = F.array().cast(FOUND)
 
     def step(state: Column, pair: Column) -> Column:
-        s = state["at"] + F.length(pair["gap"])
+        s = state["at"] + pair["gap"]
         e = s + F.length(pair["hit"])
         return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["hit"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+    def placed(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(state: Column, block: Column) -> Column:
+        out = F.transform(block["out"], lambda x: F.struct((x["s"] + state["at"]).alias("s"), (x["e"] + state["at"]).alias("e"), x["value"].alias("value")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    def joined(whole: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(whole), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda first: placed(F.slice(whole, first, F.lit(BLOCK))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("out"))
+        spans = F.flatten(F.aggregate(blocks, start, shifted, lambda state: state["out"]))
+        return F.when(F.size(whole) == 0, none).when(F.size(whole) <= BLOCK, placed(whole)["out"]).otherwise(spans)
+
+    return _let(pairs, joined)
 
 
 def _digits(value: Column) -> Column:
@@ -146,7 +173,8 @@ def bootstrap(seen: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     # directly or through what confident ones made known
     known = written(edges.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("known")), "known")
     while True:
-        scored = edges.join(known, "value", "left")
+        # strings grow with the documents, so they aren't for broadcasting
+        scored = edges.join(known.hint("merge"), "value", "left")
         sums = {k: F.sum(F.when(F.col("known") == k, 1).otherwise(0)).alias(k) for k in KINDS}
         counts = scored.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums.values())
         best = F.greatest(*(F.struct((F.col(k) / (F.col("n") + 1)).alias("confidence"), F.lit(k).alias("kind")) for k in KINDS))
@@ -154,7 +182,7 @@ def bootstrap(seen: DataFrame, confident: float = CONFIDENT) -> DataFrame:
         patterns = written(patterns, "patterns")
         if patterns.isEmpty():
             break
-        new = edges.select("pattern", "value").join(patterns, "pattern").join(known, "value", "left_anti")
+        new = edges.select("pattern", "value").join(patterns, "pattern").join(known.hint("merge"), "value", "left_anti")
         fits = reduce(lambda e, k: e | ((F.col("kind") == k) & _fits(F.col("value"), k)), KINDS, F.lit(False))
         new = new.filter(fits).groupBy("value").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("known"))
         new = written(new, "new")
@@ -169,8 +197,10 @@ def find(docs: DataFrame, confident: float = CONFIDENT, id_col: str = "doc_id",
     base_sha256, spans, n_found.
 
     ``n_`` columns and the digest are of base spans; ``spans`` lists them and
-    those that the method adds. A null text is empty. Repeated rows get the
-    same spans; an empty table stays empty.
+    those that the method adds. A null text is empty, a very long one is
+    searched whole. Repeated rows get the same spans, null ids are ids like
+    others; of kinds with the same confidence the last in the alphabet wins.
+    Other columns are ignored; an empty table stays empty.
     """
     scan = written(_scan(docs, id_col, text_col), "scan")
     seen = written(_occurrences(scan), "occurrences")
@@ -185,7 +215,7 @@ def find(docs: DataFrame, confident: float = CONFIDENT, id_col: str = "doc_id",
     if hits.isEmpty():
         rows = scan.withColumn("more", none)
     else:
-        rows = scan.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+        rows = scan.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
 
     def own(kind: str, with_more: bool) -> Column:
         if not with_more:
