@@ -140,8 +140,8 @@ def _keys_of(runs: int, similarity: float):
                 pools.append(_chosen(own, 0, similarity, POOL).astype(np.uint32).view(np.int32))
                 sketches.append(_sketch(own).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(pools, np.int32), pa.array(sketches, pa.binary())],
-                names=["doc_id", "sid", "n", "keys", "pool", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys), _lists(pools, np.int32), pa.array(sketches, pa.binary())],
+                names=["doc_id", "mark", "sid", "n", "keys", "pool", "sketch"],
             )
 
     return run
@@ -324,7 +324,8 @@ def _in_order(k: int):
 
 
 def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(sid, root, links) found in buckets; sets: (sid, n, mult, rep, keys, pool, sketch)."""
+    """(sid, root, links) found in buckets; sets: (sid, n, mult, row, keys, pool, sketch);
+    docs: (doc_id, text, mark)."""
 
     def sized(rows: DataFrame) -> DataFrame:
         """Rows of buckets with two members or more, with their number. Of
@@ -380,9 +381,13 @@ def _links(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     tiled = full.select(*tile, "sid", "mult", "block", "buckets", "n", "sketch").repartition(*at).sortWithinPartitions(*at)
     busy = written(tiled.mapInArrow(_by_tile(_sift, similarity, True), TILE_SCHEMA), "busy")
 
-    wanted = busy.select("sid").distinct().join(sets.select("sid", F.col("rep").alias("_rep")), "sid")
-    named = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("sid", "text")
+    # one row stands for a set; its text's hash parts it from rows with its id
+    wanted = busy.select("sid").distinct().join(sets.select("sid", "row"), "sid")
+    wanted = written(wanted.select("sid", F.col("row.doc_id").alias("_id"), F.col("row.mark").alias("mark")), "wanted")
+    named = docs.join(wanted.hint("merge"), (docs["mark"] == wanted["mark"]) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("sid", "text")
     tokens = written(named.mapInArrow(_tokens_of, "sid binary, tokens binary"), "tokens")
+    if tokens.count() > wanted.count():  # rows that are wholly repeated
+        tokens = written(tokens.groupBy("sid").agg(F.first("tokens").alias("tokens")), "tokens")
     whole = busy.join(tokens, "sid").select(*at, "sid", "mult", "block", "buckets", "tokens").repartition(*at).sortWithinPartitions(*at)
     return written(whole.mapInArrow(_by_tile(_compare, similarity, False), LINK_SCHEMA), "links")
 
@@ -397,11 +402,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     all; a text without a word, or null, has no link. Rows with the same id are
     linked by their texts like others. An empty table stays empty.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, sid binary, n long, keys array<long>, pool array<int>, sketch binary"), "keyed")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    keyed = written(rows.mapInArrow(_keys_of(runs_for(recall), similarity), "doc_id long, mark long, sid binary, n long, keys array<long>, pool array<int>, sketch binary"), "keyed")
     n_rows = keyed.count()
     sets = keyed.filter("sid is not null").groupBy("sid").agg(
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("mult"), F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("row"), F.first("keys").alias("keys"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch")
     )
     sets = written(sets, "sets")
     links = _links(rows, sets, similarity)
