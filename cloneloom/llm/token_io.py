@@ -215,9 +215,10 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     shard, numbered along the order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # the ranges are found from the ids alone, without reading a text
-    first = F.col("doc_id").asc_nulls_first()
-    dealt = rows.repartitionByRange(first).sortWithinPartitions(first, F.xxhash64("text"))
+    # the hash parts rows with the same id, or none, so that no task gets them all
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_segments(tokenizer or tokens.default_tokenizer(), end_id), SEGMENT_SCHEMA).write.parquet(path)
 
 
