@@ -26,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can read and write.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a temporary folder of the driver is used.
+    and there is one machine (tests) a temporary folder of it is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="cloneloom-")
