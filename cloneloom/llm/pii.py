@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -43,45 +43,60 @@ CONFIDENT = 0.9
 
 SPAN = "array<struct<s: int, e: int>>"
 
-FOUND = "array<struct<s: int, e: int, value: string>>"
+FOUND = "array<struct<s: int, e: int, value: string, before: string>>"
 
 #: Matches whose positions are summed up at once.
 BLOCK = 256
 
+#: Spans of a text up to which each candidate is held against all base spans;
+#: those of other texts meet in a window.
+FEW = 200
+
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Array of (s, e, value) of all matches; code points, end exclusive.
+def _found(text: Column, pattern: str, context: int = 0) -> Column:
+    """Array of (s, e, value, before) of all matches: code points, end
+    exclusive, and the last ``context`` characters before.
 
     Positions are summed up inside blocks of ``BLOCK`` matches and then over
     the blocks, as adding to one long array would copy it for every match.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
     none = F.array().cast(FOUND)
+    last = (lambda x: F.right(x, F.lit(context))) if context else (lambda x: F.lit(""))
 
     def step(state: Column, pair: Column) -> Column:
-        s = state["at"] + pair["gap"]
+        s = state["at"] + F.length(pair["gap"])
         e = s + F.length(pair["hit"])
-        return F.struct(e.alias("at"), F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["hit"].alias("value")))).alias("out"))
+        before = last(F.concat(state["tail"], last(pair["gap"])))
+        new = F.struct(s.alias("s"), e.alias("e"), pair["hit"].alias("value"), before.alias("before"))
+        tail = last(F.concat(before, last(pair["hit"])))
+        return F.struct(e.alias("at"), tail.alias("tail"), F.concat(state["out"], F.array(new)).alias("out"))
+
+    def placed(part: Column, tail: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), tail.alias("tail"), none.alias("out")), step)
 
-    def placed(part: Column) -> Column:
-        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    def tail_before(whole: Column, first: Column) -> Column:
+        # a match has a character at least, so this many hold the context
+        count = F.least(first - 1, F.lit(context))
+        joined = F.array_join(F.transform(F.slice(whole, first - count, count), lambda x: F.concat(last(x["gap"]), last(x["hit"]))), "")
+        return last(joined)
 
     def shifted(state: Column, block: Column) -> Column:
-        out = F.transform(block["out"], lambda x: F.struct((x["s"] + state["at"]).alias("s"), (x["e"] + state["at"]).alias("e"), x["value"].alias("value")))
+        out = F.transform(block["out"], lambda x: F.struct((x["s"] + state["at"]).alias("s"), (x["e"] + state["at"]).alias("e"), x["value"].alias("value"), x["before"].alias("before")))
         return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(out)).alias("out"))
 
     def joined(whole: Column) -> Column:
         firsts = F.sequence(F.lit(1), F.size(whole), F.lit(BLOCK))
-        blocks = F.transform(firsts, lambda first: placed(F.slice(whole, first, F.lit(BLOCK))))
+        blocks = F.transform(firsts, lambda first: placed(F.slice(whole, first, F.lit(BLOCK)), tail_before(whole, first)))
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("out"))
         spans = F.flatten(F.aggregate(blocks, start, shifted, lambda state: state["out"]))
-        return F.when(F.size(whole) == 0, none).when(F.size(whole) <= BLOCK, placed(whole)["out"]).otherwise(spans)
+        return F.when(F.size(whole) == 0, none).when(F.size(whole) <= BLOCK, placed(whole, F.lit(""))["out"]).otherwise(spans)
 
     return _let(pairs, joined)
 
@@ -137,23 +152,47 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
-    found = _found(F.col("text"), CANDIDATE)
-    before = lambda x: F.substring(F.col("text"), F.greatest(x["s"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
-    placed = F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), before(x).alias("before")))
-    none = F.array().cast("array<struct<s: int, e: int, value: string, before: string>>")
-    return rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]"), placed).otherwise(none)).drop("text")
+    found = F.when(F.col("text").rlike("[0-9@]"), _found(F.col("text"), CANDIDATE, CONTEXT_CHARS)).otherwise(F.array().cast(FOUND))
+    return rows.withColumn("found", found).drop("text")
+
+
+def _first_kind(meets) -> Column:
+    return reduce(lambda e, k: e.when(meets(k), k), KINDS[1:], F.when(meets(KINDS[0]), KINDS[0]))
+
+
+def _in_windows(rich: DataFrame) -> DataFrame:
+    """(doc_id, h, x, kind) of texts with many spans: their candidates and base
+    spans in order, each candidate seeing the base spans around it."""
+    null = F.lit(None).cast("string")
+
+    def placed(base: Column, value, before):
+        return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), base.alias("base"), value(x).alias("value"), before(x).alias("before"))
+
+    spans = [F.transform(k, placed(F.lit(k), lambda x: null, lambda x: null)) for k in KINDS]
+    own = F.transform("found", placed(null, lambda x: x["value"], lambda x: x["before"]))
+    # the number of the row keeps repeated rows apart
+    rows = rich.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "h", "row", F.explode(F.concat(*spans, own)).alias("x")).select("doc_id", "h", "row", "x.*")
+    here = Window.partitionBy("doc_id", "h", "row").orderBy("s", F.col("base").isNull())
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    last = {k: F.max(F.when(F.col("base") == k, F.col("e"))).over(so_far) for k in KINDS}
+    following = {k: F.min(F.when(F.col("base") == k, F.col("s"))).over(from_here) for k in KINDS}
+    rows = rows.withColumn("kind", _first_kind(lambda k: F.coalesce(last[k] > F.col("s"), F.lit(False)) | F.coalesce(following[k] < F.col("e"), F.lit(False))))
+    return rows.filter("base is null").select("doc_id", "h", F.struct("s", "e", "value", "before").alias("x"), "kind")
 
 
 def _occurrences(scan: DataFrame) -> DataFrame:
     """(doc_id, h, s, e, value, kind, patterns): kind is that of a base span
-    that it meets, or null."""
-    rows = scan.select("doc_id", "h", *KINDS, F.explode("found").alias("x"))
+    that it meets, or null. ``scan`` is a written table."""
+    n_spans = F.size("found") + sum((F.size(k) for k in KINDS), F.lit(0))
+    rows = scan.filter(n_spans <= FEW).select("doc_id", "h", *KINDS, F.explode("found").alias("x"))
     meets = lambda kind: F.exists(kind, lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
-    kind = reduce(lambda e, k: e.when(meets(k), k), KINDS[1:], F.when(meets(KINDS[0]), KINDS[0]))
+    rows = rows.select("doc_id", "h", "x", _first_kind(meets).alias("kind"))
+    rows = rows.unionByName(_in_windows(scan.filter(n_spans > FEW)))
     words = F.split(F.trim(F.regexp_replace(F.lower("x.before"), r"\s+", " ")), " ")
     two = F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2)))
     one = F.when(F.length(F.element_at(words, -1)) > 0, F.element_at(words, -1))
-    return rows.select("doc_id", "h", "x.s", "x.e", F.lower("x.value").alias("value"), kind.alias("kind"), F.array_compact(F.array(one, two)).alias("patterns"))
+    return rows.select("doc_id", "h", "x.s", "x.e", F.lower("x.value").alias("value"), "kind", F.array_compact(F.array(one, two)).alias("patterns"))
 
 
 def _fits(value: Column, kind: str) -> Column:
