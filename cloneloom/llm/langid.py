@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Hashed n-gram features; bounds the weights that executors get.
 FEATURES = 1 << 14
 
@@ -23,6 +25,9 @@ SAMPLE = 4000
 
 HELD_OUT = 2
 
+#: Languages that a model may have: 16 thousand doubles each.
+MOST_LANGS = 200
+
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -173,10 +178,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     Document frequencies come from all of them. The classifier is fitted on
     about ``sample`` of them, spread over the languages by a hash of the id;
     a fifth of the sample sets the temperature. No documents: no languages.
+    More than ``MOST_LANGS`` of them are an error: the model has weights for
+    each, and such labels aren't languages.
     """
     own = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     own = own.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, F.lit(3)).alias("h"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    labels = written(own.groupBy("lang").count(), "languages")
+    if labels.count() > MOST_LANGS:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGS} values")
+    counts = {r[0]: r[1] for r in labels.collect()}
     if not counts:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES + 1, 0)))
     frequency = own.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
@@ -227,8 +237,10 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     ``lang_pred`` is ``und`` with score 0 for a text that is null or has no
     letter, and for all texts if nothing could be learned. A null id is neither
-    held out nor learned from. Repeated rows are predicted like others; an
-    empty table stays empty.
+    held out nor learned from. Very long texts are read whole; of equally
+    likely languages the first in code point order is predicted. Repeated rows
+    are predicted like others; other columns are ignored; an empty table stays
+    empty.
     """
     model = model or train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
