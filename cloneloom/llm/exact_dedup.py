@@ -116,7 +116,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical; a null counts as empty. Of equal texts the
     row with the largest id stays (a null id only if all are null). Repeated
     rows with the same id and text form a group too; one of them stays, and as
-    ``kept`` can't tell them apart, both say true. An empty table stays empty.
+    ``kept`` can't tell them apart, both say true. A very long text is hashed in
+    chunks and compared in chunks. Other columns are ignored, whatever their
+    names. An empty table stays empty.
     """
     marks = written(fingerprints(docs, id_col, text_col).drop("text"), "fingerprints")
     n_rows = marks.count()

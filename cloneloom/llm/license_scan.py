@@ -179,9 +179,12 @@ def scan(docs: DataFrame, notices=NOTICES, containment: float = CONTAINMENT, id_
     license, template, containment, first_word, last_word.
 
     ``template`` numbers ``notices``; words are counted from 0. Case and
-    punctuation don't matter. Null, empty and short texts have no row; repeated
-    rows have their rows each. The catalog goes to executors with the code, and
-    documents aren't shuffled.
+    punctuation don't matter. The place is the best one, of equally good ones
+    the first; a text that holds a template twice has one row of it. Null,
+    empty and short texts have no row; very long ones are searched whole;
+    repeated rows have their rows each; null ids are kept. Other columns are
+    ignored; an empty table gives no rows. The catalog goes to executors with
+    the code, and documents aren't shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(tuple(notices), containment), MATCHES)

@@ -399,8 +399,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sets is ``similarity`` or more; ``n_links`` counts the others a document is
     linked with, copies included. ``class_id`` is the least id among those
     that links connect. A text with one to four words has one shingle of them
-    all; a text without a word, or null, has no link. Rows with the same id are
-    linked by their texts like others. An empty table stays empty.
+    all; a text without a word, or null, has no link. Very long texts count
+    with all their shingles. Rows with the same id, or none, are linked by
+    their texts like others; other columns are ignored, whatever their names.
+    An empty table stays empty. Links between the distinct texts of a group of
+    near copies are all counted, in tiles over the cluster, which is quadratic
+    in their number.
     """
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))

@@ -126,7 +126,9 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``length`` says how many tokens a piece has. The driver gets one count a
     length (``capacity`` of them at most) and broadcasts one row a length.
-    Equal rows get slots of their own; an empty table stays empty.
+    Equal rows get slots of their own, other columns are kept unless they are
+    called ``sequence_id``, ``offset``, ``slots`` or start with an underscore;
+    an empty table stays empty.
     """
     spark = table.sparkSession
     histogram = {r[0]: r[1] for r in table.groupBy("length").count().collect()}
@@ -153,8 +155,11 @@ def pack(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = tokens.END_ID) -> DataFrame:
     """Pieces of all documents with their sequences and offsets.
 
-    Null and empty texts, repeated rows and null ids are packed like others;
-    columns other than ``doc_id`` and ``text`` are ignored.
+    Null and empty texts (their end id only), repeated rows and null ids are
+    packed like others; ties between equal pieces are settled by some order,
+    which no other result depends on. Very long texts are encoded whole and cut
+    into full pieces. Columns other than ``doc_id`` and ``text`` are ignored,
+    whatever their names; an empty table stays empty.
     """
     table = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     return pack(table, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

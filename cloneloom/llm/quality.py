@@ -162,15 +162,18 @@ def _score(bands: Bands):
 def quality(docs: DataFrame, bands: Bands | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict of each whole text, without a shuffle.
 
-    A null text has no words and fails the base rule, as an empty one does.
-    Repeated rows and null ids are scored like others.
+    A null text has no words and fails the base rule, as an empty one does. A
+    very long one is judged whole and in all its chunks. A ratio on a band's
+    edge is inside. Repeated rows and null ids are scored like others; other
+    columns are ignored; an empty table stays empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     return rows.mapInArrow(_score(bands or Bands()), f"doc_id long, {SCHEMA}")
 
 
 def accepted(docs: DataFrame, bands: Bands | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever
+    their names; nulls, long texts and repeated rows as in ``quality``."""
     kept = _score(bands or Bands())
 
     def run(batches):

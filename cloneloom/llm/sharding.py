@@ -205,8 +205,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     grown_shard.
 
     Equal texts (a null counts as empty) share a shard. The law that holds is
-    ``bytes``: the shards' sizes are as equal as best fit gets them. Repeated
-    rows get slots of their own; an empty table stays empty.
+    ``bytes``: the shards' sizes are as equal as best fit gets them. A group
+    isn't split, so a very long text or a group of very many rows can make one
+    shard larger. Groups of one size go in the order of their digests. Repeated
+    rows get slots of their own, null ids are ids like others; other columns
+    are ignored; an empty table stays empty.
     """
     text = text_of(text_col)
     rows = docs.select(

@@ -258,7 +258,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = tokens.END_ID) -> DataFrame:
     """Write all documents to files in the shared folder and read them back.
 
-    An empty table gives files without segments and no rows.
+    Null and empty texts, repeated rows, null and repeated ids as in
+    ``write_files``; very long texts are encoded whole and make a segment that
+    is as long. Other columns are ignored, whatever their names. An empty table
+    gives files without segments and no rows.
     """
     spark = docs.sparkSession
     path = table_path(spark, "token_files")
