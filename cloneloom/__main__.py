@@ -35,18 +35,22 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-m", "--min-depth", type=int, default=3)
     p.add_argument("--min-similarity", type=float, default=0.99)
     p.add_argument("-b", "--basic-blocks", action="store_true")
-    p.add_argument("-c", "--csv", metavar="FOLDER", help="write CSV files there instead of the text report")
+    p.add_argument("-c", "--csv", nargs="?", const="-", metavar="FOLDER", help="CSV instead of the text report, as files in a folder or on the standard output")
     p.add_argument("--disable-structural", action="store_true")
     p.add_argument("--disable-semantic", action="store_true")
     p.add_argument("-s", "--sort", choices=results.SORTS, default="none")
     p.add_argument("--no-filter", action="store_true")
     p.add_argument("-l", "--limit", type=int, help="binaries extracted at a time")
-    p.add_argument("-t", "--timeout", type=float, help="seconds for the extraction of a binary")
+    p.add_argument("-t", "--timeout", type=float, help="seconds for the analysis of a binary")
     p.add_argument("--extract", action="store_true", help="inputs are binaries; needs the disassembler")
     p.add_argument("--compat-autodetect", action="store_true")
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("cloneloom").getOrCreate()
     began = time.perf_counter()
+
+    def report(line: str) -> None:
+        print(f"{time.perf_counter() - began:9.3f} s  {line}", file=sys.stderr)
+
     if a.extract:
         from .operators.common import written
 
@@ -77,16 +81,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         mode = "structural" if a.disable_semantic else "semantic" if a.disable_structural else "combined"
         members = detect_clones(
-            corpus, mode, a.min_depth, a.min_similarity, a.architecture or "auto", a.sort, not a.no_filter, compat_autodetect=a.compat_autodetect
+            corpus, mode, a.min_depth, a.min_similarity, a.architecture or "auto", a.sort, not a.no_filter, compat_autodetect=a.compat_autodetect, report=report
         )
     if members is None:
         print("----------------------------\nClasses: 0 Clones: 0")
+    elif a.csv == "-":
+        for line in results.csv_lines(members, a.basic_blocks):
+            print(line)
     elif a.csv:
         results.write_csv(members, a.csv, a.basic_blocks)
     else:
         for line in results.text_lines(members, a.basic_blocks):
             print(line)
-    print(f"{time.perf_counter() - began:.3f} s", file=sys.stderr)
+    report("done")
     return 0
 
 

@@ -130,6 +130,12 @@ def add_entry_point(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return written(moved.unionByName(entry), "nodes"), written(edges.unionByName(new_edges), "edges")
 
 
+# The graph's, nodes' and edges' attributes, and colours of edges:
+# the only one or one of many, the one that follows, the one that is taken.
+DOT_HEAD = 'digraph{\ngraph[bgcolor=azure,fontsize=8,splines="ortho"];\nnode[fillcolor=gray,style=filled,shape=box];\nedge[arrowhead=normal];\n\n'
+DOT_COLOURS = ("dodgerblue", "crimson", "forestgreen")
+
+
 def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, dot): one Graphviz text a function, its lines in order."""
     what = kind(F.col("offset"), F.col("length"))
@@ -137,16 +143,22 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     line = F.format_string('%s[comment="(%s,%s)"%s];', F.col("offset").cast("string"), F.col("offset").cast("string"), F.col("length").cast("string"), shape)
     node_text = nodes.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("offset", line.alias("line")))).alias("lines"))
     out = F.count(F.lit(1)).over(Window.partitionBy(*KEY, "src"))
-    colour = F.when(out != 2, "dodgerblue").when(F.col("pos") == 0, "crimson").otherwise("forestgreen")
+    colour = F.when(out != 2, DOT_COLOURS[0]).when(F.col("pos") == 0, DOT_COLOURS[1]).otherwise(DOT_COLOURS[2])
     line = F.format_string('%s->%s[color="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), colour)
     drawn = edges.withColumn("line", line)
     edge_text = drawn.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("src", "pos", "line"))).alias("edge_lines"))
-    head = 'digraph{\ngraph[bgcolor=azure,fontsize=8,splines="ortho"];\nnode[fillcolor=gray,style=filled,shape=box];\nedge[arrowhead=normal];\n\n'
     joined = lambda c: F.concat_ws("\n", F.transform(c, lambda x: x["line"]))
     rows = node_text.join(edge_text, KEY, "left")
-    return rows.select(*KEY, F.concat(F.lit(head), joined("lines"), F.lit("\n"), F.coalesce(joined("edge_lines"), F.lit("")), F.lit("\n}\n")).alias("dot"))
-
-
-def write_dot(dots: DataFrame, path: str) -> None:
-    """Graph texts as files, in a folder for each function."""
+    return rows.select(*KEY, F.concat(F.lit(DOT_HEAD), joined("lines"), F.lit("\n"), F.coalesce(joined("edge_lines"), F.lit("")), F.lit("\n}\n")).alias("dot"))
+
+
+def write_dot(dots: DataFrame, path: str, files: int | None = None) -> None:
+    """Graph texts as a table of (key, dot), not as a file for each of
+    millions of functions. With ``files``, at most so many functions are
+    written as text files, in a folder for each."""
+    if files is None:
+        dots.write.parquet(path)
+        return
+    if dots.limit(files + 1).count() > files:
+        raise ValueError(f"more than {files} functions; write them as a table")
     dots.write.partitionBy(*KEY).option("lineSep", "\n").text(path)

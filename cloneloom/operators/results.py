@@ -6,6 +6,8 @@ function_id, ...), never as lists, so a class can be of any size.
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,11 @@ from ..functions.blocks import block_list
 from ..functions.statements import untag
 from .common import MULTISET, join_groups, multiset, numbered, written
 
+# Names of orders, columns of the CSV report, lines of the text
+# report.
 SORTS = ("none", "depth-asc", "depth-desc", "size-asc", "size-desc")
+CSV_COLUMNS = ("arch", "bits", "binary", "function", "clone_class_id", "class_depth", "basic_blocks")
+CLASS_LINE, LAST_LINE, SUMMARY_LINE = "----- CLONE CLASS ({}) -----", "----------------------------", "Classes: {} Clones: {}"
 
 
 def with_depth(members: DataFrame) -> DataFrame:
@@ -57,11 +63,10 @@ def summary(members: DataFrame) -> DataFrame:
 def csv_rows(numbered_members: DataFrame, basic_blocks: bool = False) -> DataFrame:
     """Rows of the CSV report; ``binary_id`` is a tagged name."""
     arch, bits, path = untag(F.col("binary_id"))
-    columns = [arch.alias("arch"), bits.alias("bits"), path.alias("binary"), F.col("function_id").alias("function"), "clone_class_id", "class_depth"]
-    if basic_blocks:
-        has = "basic_blocks" in numbered_members.columns
-        columns.append((block_list(F.col("basic_blocks")) if has else F.lit(None).cast("string")).alias("basic_blocks"))
-    return numbered_members.select(*columns)
+    has = "basic_blocks" in numbered_members.columns
+    values = [arch, bits, path, F.col("function_id"), F.col("clone_class_id"), F.col("class_depth"), block_list(F.col("basic_blocks")) if has else F.lit(None).cast("string")]
+    named = [v.alias(name) for v, name in zip(values, CSV_COLUMNS, strict=True)]
+    return numbered_members.select(*(named if basic_blocks else named[:-1]))
 
 
 def write_csv(numbered_members: DataFrame, path: str, basic_blocks: bool = False) -> None:
@@ -69,6 +74,23 @@ def write_csv(numbered_members: DataFrame, path: str, basic_blocks: bool = False
     rows.repartitionByRange("clone_class_id").sortWithinPartitions("clone_class_id", "binary", "function").write.option("header", True).csv(path)
 
 
+def csv_lines(numbered_members: DataFrame, basic_blocks: bool = False) -> Iterator[str]:
+    """Lines of the CSV report, streamed in order to the driver."""
+    rows = csv_rows(numbered_members, basic_blocks)
+    out = io.StringIO()
+    write = csv.writer(out, lineterminator="")
+
+    def line(values) -> str:
+        out.seek(0)
+        out.truncate()
+        write.writerow(values)
+        return out.getvalue()
+
+    yield line(rows.columns)
+    for r in rows.orderBy("clone_class_id", "binary", "function").toLocalIterator(prefetchPartitions=True):
+        yield line(r)
+
+
 def text_lines(numbered_members: DataFrame, basic_blocks: bool = False) -> Iterator[str]:
     """Lines of the text report, streamed in order to the driver."""
     rows = numbered_members
@@ -80,14 +102,14 @@ def text_lines(numbered_members: DataFrame, basic_blocks: bool = False) -> Itera
         if r["clone_class_id"] != now:
             now = r["clone_class_id"]
             classes += 1
-            yield f"----- CLONE CLASS ({r['class_depth']}) -----"
+            yield CLASS_LINE.format(r["class_depth"])
         clones += 1
         if not basic_blocks:
             yield f"{r['binary_id']} :: {r['function_id']}"
         elif r["listed"] is not None:
             yield f"{r['binary_id']} :: {r['function_id']} [{r['listed']}]"
-    yield "----------------------------"
-    yield f"Classes: {classes} Clones: {clones}"
+    yield LAST_LINE
+    yield SUMMARY_LINE.format(classes, clones)
 
 
 def architectures_differ(binaries: DataFrame) -> DataFrame:

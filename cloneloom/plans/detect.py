@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ class Corpus:
     def graphs(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of functions with more than one block."""
         nodes, edges = cfg.from_bare(self.blocks, self.edges, self.roots)
-        nodes = written(nodes, "cfg_nodes")
+        nodes, edges = written(nodes, "cfg_nodes"), written(edges, "cfg_edges")
         several = nodes.groupBy(*FUNCTION_KEY).count().filter("count > 1").select(*FUNCTION_KEY)
         return nodes.join(several, FUNCTION_KEY, "left_semi"), edges.join(several, FUNCTION_KEY, "left_semi")
 
@@ -68,12 +69,25 @@ def detect_clones(
     dedup: bool = True,
     strict: bool = False,
     compat_autodetect: bool = False,
+    report: Callable[[str], None] | None = None,
 ) -> DataFrame:
     """Members of clone classes, numbered: (clone_class_id, class_depth, size,
     binary_id, function_id, and for structural classes node_id, depth,
-    basic_blocks). ``binary_id`` is a tagged name."""
+    basic_blocks). ``binary_id`` is a tagged name.
+
+    ``report`` gets a line at the end of each phase, with what it found; it
+    makes vectors and members be written, to count them.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+
+    def phase(rows: DataFrame, name: str, what: str) -> DataFrame:
+        if report is None:
+            return rows
+        rows = written(rows, name)
+        report(f"{what}: {rows.count()}")
+        return rows
+
     vecs = None
     if mode != "structural":
         cross = cross_architecture(corpus.binaries, arch_mode, mode, compat_autodetect)
@@ -82,13 +96,16 @@ def detect_clones(
             several = corpus.blocks.groupBy(*FUNCTION_KEY).count().filter("count > 1").select(*FUNCTION_KEY)
             statements = statements.join(several, FUNCTION_KEY, "left_semi")
         vecs = vectors.vectors(vectors.opcode_counts(statements, vectors.opcode_column(cross)).drop("total", "frequency"))
+        vecs = phase(vecs, "function_vectors", "functions with a vector")
     if mode == "semantic":
-        members = semantic.semantic_members(vecs, min_similarity)
+        members = phase(semantic.semantic_members(vecs, min_similarity), "semantic_members", "members of semantic classes")
     else:
         tree = written(structure.tree_nodes(structure.reduce_functions(*corpus.graphs())), "tree_nodes")
-        members = structural.structural_members(tree, min_depth, strict)
+        if report:
+            report(f"candidate structures: {structural.candidates(tree, min_depth).count()}")
+        members = phase(structural.structural_members(tree, min_depth, strict), "structural_members", "members of structural classes")
         if mode == "combined":
-            members = combined.combined_members(members, vecs, min_similarity)
+            members = phase(combined.combined_members(members, vecs, min_similarity), "combined_members", "members of combined classes")
     members = tagged(members, corpus.binaries)
     if dedup:
         members = results.deepest_only(written(members, "members"))

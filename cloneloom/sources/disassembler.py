@@ -10,6 +10,7 @@ import json
 import os
 import shutil
 import subprocess
+import threading
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,34 +22,82 @@ INFO, OFFSETS, NAMES, BODY, BLOCKS, EDGES = "ij", "aflqj", "aflj", "pdfj", "afb"
 FULL_ANALYSIS, BOUNDS_ANALYSIS = ("aaa",), ("aa", "aac")
 
 
-def _run(tool: str, path: str, commands: list[str], timeout: float | None) -> list[str]:
-    script = ";?e ---8<---;".join(commands)
-    done = subprocess.run([tool, "-2", "-q", "-c", script, path], capture_output=True, text=True, timeout=timeout, check=False)
-    return [part.strip("\n") for part in done.stdout.split("---8<---\n")]
+#: What parts the outputs of two commands.
+MARK = "---8<---"
+
+
+class Session:
+    """A disassembler that reads commands from a pipe, so that any number of
+    them can follow one analysis. ``timeout`` bounds the analysis alone."""
+
+    def __init__(self, tool: str, path: str):
+        self.process = subprocess.Popen(
+            [tool, "-2", "-q0", path], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, encoding="utf-8", errors="replace"
+        )
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.process.kill()
+        self.process.stdin.close()
+        self.process.stdout.close()
+        self.process.wait()
+
+    def ask(self, command: str, timeout: float | None = None) -> str:
+        """A command's output. One command is answered before the next is
+        sent, so neither pipe fills up."""
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            self.process.kill()
+
+        timer = threading.Timer(timeout, stop) if timeout else None
+        if timer:
+            timer.start()
+        try:
+            self.process.stdin.write(f"{command}\n?e {MARK}\n")
+            self.process.stdin.flush()
+            lines = []
+            for line in self.process.stdout:
+                line = line.replace("\0", "")
+                if line.rstrip("\r\n") == MARK:
+                    return "".join(lines).strip("\n")
+                lines.append(line)
+        except BrokenPipeError:
+            pass
+        finally:
+            if timer:
+                timer.cancel()
+        if late.is_set():
+            raise subprocess.TimeoutExpired(command, timeout)
+        raise ValueError(f"the disassembler ended at {command}")
 
 
 def extract_one(path: str, tool: str = "r2", full: bool = True, timeout: float | None = None) -> list[tuple]:
-    """Dump rows of one binary. A file that can't be read is a
-    FileNotFoundError, a missing tool a BrokenPipeError; a binary without a
-    known architecture has its information only."""
+    """Dump rows of one binary, which is analysed once. A file that can't be
+    read is a FileNotFoundError, a missing tool a BrokenPipeError; a binary
+    without a known architecture has its information only. ``timeout`` seconds
+    bound the analysis, not what is listed after it."""
     if not os.path.isfile(path):
         raise FileNotFoundError(path)
     if not shutil.which(tool):
         raise BrokenPipeError(f"{tool} can't be started")
-    analysis = list(FULL_ANALYSIS if full else BOUNDS_ANALYSIS)
-    info, *_, names = _run(tool, path, [INFO, *analysis, NAMES], timeout)
-    rows = [(path, None, INFO, info), (path, None, NAMES, names)]
-    functions = [f for f in json.loads(names or "[]") if "offset" in f and "name" in f]
-    per = [f"{c} @ {f['offset']}" for f in functions for c in (BODY, BLOCKS, EDGES)]
-    outputs = _run(tool, path, [*analysis, *per], timeout)[len(analysis) :] if per else []
-    for k, out in enumerate(outputs):
-        rows.append((path, functions[k // 3]["name"], (BODY, BLOCKS, EDGES)[k % 3], out))
+    with Session(tool, path) as session:
+        rows = [(path, None, INFO, session.ask(INFO))]
+        session.ask("; ".join(FULL_ANALYSIS if full else BOUNDS_ANALYSIS), timeout)
+        names = session.ask(NAMES)
+        rows.append((path, None, NAMES, names))
+        for f in json.loads(names or "[]"):
+            if "offset" in f and "name" in f:
+                rows += [(path, f["name"], command, session.ask(f"{command} @ {f['offset']}")) for command in (BODY, BLOCKS, EDGES)]
     return rows
 
 
 def extract(spark: SparkSession, paths: DataFrame, tool: str = "r2", full: bool = True, timeout: float | None = None) -> DataFrame:
-    """Dumps of the binaries in (path); one that fails or takes longer than
-    ``timeout`` seconds gives a row with command ``error``."""
+    """Dumps of the binaries in (path); one that fails, or whose analysis takes
+    longer than ``timeout`` seconds, gives a row with command ``error``."""
 
     def run(batches):
         for batch in batches:

@@ -194,7 +194,7 @@ def test_dot_problems_and_files(spark, tmp_path):
     assert {r.function_id: r.problem for r in problems.collect()} == {"x": "unexpected input filetype", "y": "inconsistent data"}
     assert nodes.count() == 0 and edges.count() == 0
     made = graph_of(spark, COND, 0x626)
-    cfg.write_dot(cfg.to_dot(*made), str(tmp_path / "dots"))
+    cfg.write_dot(cfg.to_dot(*made), str(tmp_path / "dots"), files=10)
     read = dot.read_files(spark, str(tmp_path / "dots/*/*"))
     assert out_of(dot.parse(read)[1]) == out_of(made[1])
 
@@ -413,3 +413,73 @@ def test_streaming_arrivals(spark, five, tmp_path):
     query.awaitTermination(120)
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() > 0 and {r.function_id for r in found.collect()} == {"f0"} and found.agg(F.min("known")).first()[0] >= 5
+
+
+STUB = '''#!{python}
+import json, sys, time
+n = int(open(sys.argv[-1]).read())
+for line in sys.stdin:
+    for command in line.strip().split("; "):
+        if command.startswith("?e "):
+            print(command[3:])
+        elif command == "ij":
+            print(json.dumps({{"bin": {{"arch": "x86", "bits": 64}}}}))
+        elif command == "aaa":
+            open(sys.argv[-1] + ".analysed", "a").write("x")
+            time.sleep(30 if n == 7 else 0)
+        elif command == "aflj":
+            print(json.dumps([{{"offset": 16 * k, "name": "f%d" % k}} for k in range(n)]))
+        elif " @ " in command:
+            what, at = command.split(" @ ")
+            print(json.dumps({{"ops": [{{"offset": int(at), "type": "mov", "opcode": "mov eax, 1"}}]}}) if what == "pdfj" else what + at)
+        sys.stdout.flush()
+'''
+
+
+def test_extraction_of_many_functions(spark, tmp_path):
+    """More commands than an argument could hold, after one analysis; a
+    binary whose analysis takes too long gives an error alone."""
+    import sys
+
+    tool = tmp_path / "stub"
+    tool.write_text(STUB.format(python=sys.executable))
+    tool.chmod(0o755)
+    for name, n in (("many", 5000), ("none", 0), ("slow", 7)):
+        (tmp_path / name).write_text(str(n))
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("many", "none", "slow")], "path string")
+    table = disassembler.extract(spark, paths, tool=str(tool), timeout=5.0).cache()
+    found = {(r.binary_id.rsplit("/", 1)[1], r.command): r["count"] for r in table.groupBy("binary_id", "command").count().collect()}
+    assert found == {("many", "ij"): 1, ("many", "aflj"): 1, ("many", "pdfj"): 5000, ("many", "afb"): 5000, ("many", "agfdm"): 5000, ("none", "ij"): 1, ("none", "aflj"): 1, ("slow", "error"): 1}
+    assert (tmp_path / "many.analysed").read_text() == "x"
+    bodies = dumps.function_bodies(table.filter("command = 'pdfj'"))
+    assert bodies.count() == 5000 and bodies.filter("function_id = 'f12' and offset = 192").count() == 1
+
+
+def test_dots_of_many_functions_are_a_table(spark, tmp_path):
+    dots = spark.createDataFrame([("b", f"f{k}", "digraph{}") for k in range(20)], "binary_id string, function_id string, dot string")
+    cfg.write_dot(dots, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 20
+    with pytest.raises(ValueError):
+        cfg.write_dot(dots, str(tmp_path / "files"), files=10)
+
+
+def test_csv_lines_and_phases(spark):
+    members = spark.createDataFrame([("[x86_64]/bin/a, b", "f", 0, 2), ("[x86_64]/bin/c", "g", 0, 2)], "binary_id string, function_id string, clone_class_id long, class_depth int")
+    assert list(results.csv_lines(members)) == ["arch,bits,binary,function,clone_class_id,class_depth", 'x86,64,"/bin/a, b",f,0,2', "x86,64,/bin/c,g,0,2"]
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from cloneloom.operators import common
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return spark.sparkContext.getConf()
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Session())
