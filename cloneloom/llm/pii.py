@@ -172,9 +172,11 @@ def _in_windows(rich: DataFrame) -> DataFrame:
     own = F.transform("found", placed(null, lambda x: x["value"], lambda x: x["before"]))
     # the number of the row keeps repeated rows apart
     rows = rich.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "h", "row", F.explode(F.concat(*spans, own)).alias("x")).select("doc_id", "h", "row", "x.*")
-    here = Window.partitionBy("doc_id", "h", "row").orderBy("s", F.col("base").isNull())
-    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    from_here = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # both frames run from the start of their order: the other way each row
+    # would read all that follow it
+    text = Window.partitionBy("doc_id", "h", "row")
+    so_far = text.orderBy("s", F.col("base").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = text.orderBy(F.desc("s"), F.col("base").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = {k: F.max(F.when(F.col("base") == k, F.col("e"))).over(so_far) for k in KINDS}
     following = {k: F.min(F.when(F.col("base") == k, F.col("s"))).over(from_here) for k in KINDS}
     rows = rows.withColumn("kind", _first_kind(lambda k: F.coalesce(last[k] > F.col("s"), F.lit(False)) | F.coalesce(following[k] < F.col("e"), F.lit(False))))
