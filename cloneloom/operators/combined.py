@@ -26,7 +26,12 @@ def combined_members(members: DataFrame, vecs: DataFrame, min_similarity: float
     inside = written(similar_vectors(distinct, min_similarity, held), "pairs")
     own = held.limit(0) if min_similarity >= 1 else held
     around = distinct_neighbourhoods(written(neighbourhoods(inside, own, ["class_key"]), "around"), ["class_key"])
-    found = around.join(rows.withColumnRenamed("vid", "b"), ["class_key", "b"])
-    found = found.withColumn("class_key", F.sha2(F.concat_ws("/", "class_key", "a"), 256)).drop("a", "b")
-    sizes = found.groupBy("class_key").agg(F.count(F.lit(1)).alias("size"), F.min_by("depth", F.struct(*MEMBER)).alias("class_depth"))
-    return found.join(sizes.filter("size > 1").select("class_key", "class_depth"), "class_key")
+    # sizes and depths need one row for each vector of a class, not its members
+    first = F.struct(*MEMBER, "depth")
+    per = rows.groupBy("class_key", F.col("vid").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
+    sizes = around.join(per, ["class_key", "b"]).groupBy("class_key", "a").agg(F.sum("n").alias("size"), F.min("first").alias("first"))
+    sizes = sizes.filter("size > 1").select("class_key", "a", F.col("first.depth").alias("class_depth"))
+    name = F.sha2(F.concat_ws("/", "class_key", "a"), 256)
+    listed = written(around.join(sizes, ["class_key", "a"]).select("class_key", "b", name.alias("name"), "class_depth"), "classes")
+    found = listed.join(rows.withColumnRenamed("vid", "b"), ["class_key", "b"])
+    return found.select(F.col("name").alias("class_key"), *[c for c in rows.columns if c not in ("class_key", "vid")], "class_depth")
