@@ -91,6 +91,19 @@ def from_bare(blocks: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[Da
     return rows.select(*KEY, "offset", "length", (F.col("offset") == F.col("_root")).alias("is_root")), kept
 
 
+def gathered(blocks: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row a function with a block: (key, blocks, edges, roots), as they
+    are. All three meet in one shuffle; ``structure.bare_cfg`` does what
+    ``from_bare`` does by joins."""
+    held = {"blocks": F.struct("offset", "length"), "edges": F.struct("src", "dst"), "roots": F.coalesce("root", address(0)).alias("root")}
+    types = {"blocks": f"struct<offset: {ADDRESS}, length: {ADDRESS}>", "edges": f"struct<src: {ADDRESS}, dst: {ADDRESS}>", "roots": ADDRESS}
+    rows = None
+    for name, table in (("blocks", blocks), ("edges", edges), ("roots", roots)):
+        part = table.select(*KEY, *((held[n] if n == name else F.lit(None)).cast(types[n]).alias(n) for n in types))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy(*KEY).agg(*(F.collect_list(n).alias(n) for n in types)).filter(F.size("blocks") > 0)
+
+
 def from_statements(statements: DataFrame, ends: DataFrame, arch: Column, outside_targets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the graphs of statements.
 
