@@ -21,13 +21,16 @@ ARCH_MODES = ("auto", "same", "cross")
 class Corpus:
     """What is analysed. ``binaries``: (binary_id, path, arch, bits);
     ``statements`` and bare graphs as in ``model``; ``roots``: (key, root).
-    ``statements`` or graphs can be left out for modes that don't use them."""
+    ``functions`` (key, blocks, edges, roots), as ``cfg.gathered`` gives them,
+    can stand for blocks, edges and roots. ``statements`` or graphs can be left
+    out for modes that don't use them."""
 
     binaries: DataFrame
     statements: DataFrame | None = None
     blocks: DataFrame | None = None
     edges: DataFrame | None = None
     roots: DataFrame | None = None
+    functions: DataFrame | None = None
 
     def graphs(self) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges) of functions with more than one block."""
@@ -36,6 +39,18 @@ class Corpus:
         several = nodes.groupBy(*FUNCTION_KEY).count().filter("count > 1").select(*FUNCTION_KEY)
         return nodes.join(several, FUNCTION_KEY, "left_semi"), edges.join(several, FUNCTION_KEY, "left_semi")
 
+    def several(self) -> DataFrame | None:
+        """Keys of functions with more than one block."""
+        if self.functions is not None:
+            return self.functions.filter(F.size("blocks") > 1).select(*FUNCTION_KEY)
+        if self.blocks is not None:
+            return self.blocks.groupBy(*FUNCTION_KEY).count().filter("count > 1").select(*FUNCTION_KEY)
+
+    def gathered(self) -> DataFrame:
+        """Functions with more than one block, a row each."""
+        rows = cfg.gathered(self.blocks, self.edges, self.roots) if self.functions is None else self.functions
+        return rows.filter(F.size("blocks") > 1)
+
 
 def cross_architecture(binaries: DataFrame, arch_mode: str = "auto", mode: str = "combined", compat_autodetect: bool = False) -> bool:
     """Whether opcodes are families.
@@ -92,15 +107,16 @@ def detect_clones(
     if mode != "structural":
         cross = cross_architecture(corpus.binaries, arch_mode, mode, compat_autodetect)
         statements = corpus.statements
-        if corpus.blocks is not None:
-            several = corpus.blocks.groupBy(*FUNCTION_KEY).count().filter("count > 1").select(*FUNCTION_KEY)
-            statements = statements.join(several, FUNCTION_KEY, "left_semi")
+        several = corpus.several()
+        if several is not None:
+            # as many rows as functions, more than their estimate tells: never broadcast
+            statements = statements.join(several.hint("merge"), FUNCTION_KEY, "left_semi")
         vecs = vectors.vectors(vectors.opcode_counts(statements, vectors.opcode_column(cross)).drop("total", "frequency"))
         vecs = phase(vecs, "function_vectors", "functions with a vector")
     if mode == "semantic":
         members = phase(semantic.semantic_members(vecs, min_similarity), "semantic_members", "members of semantic classes")
     else:
-        tree = written(structure.tree_nodes(structure.reduce_functions(*corpus.graphs())), "tree_nodes")
+        tree = written(structure.listed_trees(corpus.gathered(), min_depth), "tree_nodes")
         if report:
             report(f"candidate structures: {structural.candidates(tree, min_depth).count()}")
         members = phase(structural.structural_members(tree, min_depth, strict), "structural_members", "members of structural classes")

@@ -56,3 +56,16 @@ def test_shapes_are_those_of_joins(spark, data_dir):
     assert listed.columns == nodes.columns and listed.exceptAll(nodes).isEmpty() and nodes.exceptAll(listed).isEmpty()
     deep = structure.listed_trees(functions, 2)
     assert deep.exceptAll(nodes.filter("depth >= 2")).isEmpty() and deep.count() == nodes.filter("depth >= 2").count()
+
+
+def test_detection_gathers_in_one_shuffle(spark, data_dir):
+    """Nodes and edges were joined four times before they met."""
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    corpus = queries.shape_corpus(spark, data_dir)
+    assert "Exchange" not in plan(corpus.gathered()) and "Exchange" not in plan(corpus.several())
+    blocks, edges, roots = V.shape_graphs(spark, data_dir, V.ALL_SHAPES)
+    tables = type(corpus)(corpus.binaries, corpus.statements, blocks, edges, roots).gathered()
+    assert "Join" not in plan(tables)
+    names = [*cfg.KEY, "block_type", "depth", "struct_key"]
+    a, b = (structure.outermost_structures(rows).select(names) for rows in (corpus.gathered(), tables))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
