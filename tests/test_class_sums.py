@@ -40,7 +40,7 @@ def test_semantic_sums(spark, monkeypatch, most):
     assert got.columns == want.columns
 
 
-@pytest.mark.parametrize("name", ["semantic_classes"])
+@pytest.mark.parametrize("name", ["semantic_classes", "combined_classes"])
 def test_no_pairs_are_listed(spark, data_dir, monkeypatch, name):
     monkeypatch.setattr(semantic, "similar_vectors", refuse)
     monkeypatch.setattr(combined, "similar_vectors", refuse)
