@@ -7,7 +7,7 @@ from cloneloom import queries
 from cloneloom import views as V
 from cloneloom.operators import cfg, structure
 
-RULES = ["do_while", "if_chain"]
+RULES = ["do_while", "if_chain", "irreducible"]
 
 
 @pytest.mark.parametrize("rule", RULES)
