@@ -7,7 +7,7 @@ from cloneloom import queries
 from cloneloom import views as V
 from cloneloom.operators import cfg, structure
 
-RULES = ["do_while", "if_chain", "irreducible", "proper_interval", "switch", "while", "if_else", "improper_interval"]
+RULES = ["do_while", "if_chain", "irreducible", "proper_interval", "switch", "while", "if_else", "improper_interval", "natural_loops"]
 
 
 @pytest.mark.parametrize("rule", RULES)
