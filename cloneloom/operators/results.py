@@ -44,6 +44,11 @@ def _order(sort: str) -> list[Column]:
     return [*first, F.asc("first_member"), F.asc("class_depth"), F.asc("size"), F.asc("class_key")]
 
 
+def class_numbers(classes: DataFrame, sort: str = "none") -> DataFrame:
+    """Add clone_class_id (from 0, in the order) to rows of classes."""
+    return numbered(classes, _order(sort), "clone_class_id")
+
+
 def ranked(members: DataFrame, sort: str = "none") -> DataFrame:
     """Add clone_class_id (from 0, in the order) and size to each member. Ties
     are settled by the least member."""
@@ -51,7 +56,7 @@ def ranked(members: DataFrame, sort: str = "none") -> DataFrame:
     classes = rows.groupBy("class_key").agg(
         F.first("class_depth").alias("class_depth"), F.count(F.lit(1)).alias("size"), F.min(F.struct("binary_id", "function_id")).alias("first_member")
     )
-    numbers = written(numbered(classes, _order(sort), "clone_class_id").select("class_key", "clone_class_id", "size"), "class_numbers")
+    numbers = written(class_numbers(classes, sort).select("class_key", "clone_class_id", "size"), "class_numbers")
     return join_groups(rows, numbers, ["class_key"], "size")
 
 

@@ -74,6 +74,14 @@ def tagged(members: DataFrame, binaries: DataFrame) -> DataFrame:
     return members.join(names, "binary_id").withColumn("binary_id", F.col("_tag")).drop("_tag")
 
 
+def named_apart(vecs: DataFrame, binaries: DataFrame) -> bool:
+    """Whether each binary of the vectors has one tagged name, its own. If so,
+    classes of different vectors never have the same tagged functions."""
+    names = binaries.select("binary_id", tag(F.col("arch"), F.col("bits"), F.col("path")).alias("_tag"))
+    n, ids, tags = names.agg(F.count(F.lit(1)), F.countDistinct("binary_id"), F.countDistinct("_tag")).first()
+    return n == ids == tags and vecs.join(names, "binary_id", "left_anti").isEmpty()
+
+
 def detect_clones(
     corpus: Corpus,
     mode: str = "combined",
@@ -114,6 +122,12 @@ def detect_clones(
         vecs = vectors.vectors(vectors.opcode_counts(statements, vectors.opcode_column(cross)).drop("total", "frequency"))
         vecs = phase(vecs, "function_vectors", "functions with a vector")
     if mode == "semantic":
+        vecs = written(vecs, "vectors")
+        if named_apart(vecs, corpus.binaries):
+            classes = semantic.Classes(tagged(vecs, corpus.binaries), min_similarity)
+            if report:
+                report(f"members of semantic classes: {classes.found.agg(F.sum('size')).first()[0] or 0}")
+            return classes.members(results.class_numbers(classes.found, sort))
         members = phase(semantic.semantic_members(vecs, min_similarity), "semantic_members", "members of semantic classes")
     else:
         tree = written(structure.listed_trees(corpus.gathered(), min_depth), "tree_nodes")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cloneloom import queries
 from cloneloom.operators import combined, semantic, vectors
+from cloneloom.operators.common import written
+from cloneloom.plans import detect
 
 
 def refuse(*_):
@@ -45,3 +47,29 @@ def test_no_pairs_are_listed(spark, data_dir, monkeypatch, name):
     monkeypatch.setattr(semantic, "similar_vectors", refuse)
     monkeypatch.setattr(combined, "similar_vectors", refuse)
     assert queries.QUERIES[name](spark, data_dir).count() > 0
+
+
+@pytest.mark.parametrize("sort, most, share", [("size-desc", 64, 1), ("size-asc", 4096, 4096)])
+def test_detection_lists_members_last(spark, monkeypatch, sort, most, share):
+    """Pairs, neighbourhoods and members were written several times each."""
+    rows = some_vectors(spark).select("binary_id", "function_id", F.explode("vec").alias("x"))
+    rows = rows.select("binary_id", "function_id", F.col("x.opcode").alias("family"), F.explode(F.sequence(F.lit(1), F.col("x.n"))).alias("pos"))
+    binaries = spark.createDataFrame([("x", "/x", "x86", 64), ("y", "/y", "x86", 64)], "binary_id string, path string, arch string, bits int")
+    corpus = detect.Corpus(binaries, written(rows, "statements"))
+    names = ["clone_class_id", "class_depth", "size", "binary_id", "function_id"]
+    found = lambda: Counter(map(tuple, detect.detect_clones(corpus, "semantic", min_similarity=0.8, sort=sort).select(names).collect()))
+    with monkeypatch.context() as patched:
+        patched.setattr(detect, "named_apart", lambda *_: False)
+        want = found()
+    monkeypatch.setattr(vectors, "WIDE_TILE", most)
+    monkeypatch.setattr(semantic, "SHARE", share)
+    monkeypatch.setattr(semantic, "similar_vectors", refuse)
+    assert found() == want and len(want) > 1000
+
+
+def test_names_that_clash_are_not_apart(spark):
+    vecs = spark.createDataFrame([("x",), ("y",)], "binary_id string")
+    apart = lambda *rows: detect.named_apart(vecs, spark.createDataFrame(rows, "binary_id string, path string, arch string, bits int"))
+    assert apart(("x", "/x", "x86", 64), ("y", "/y", "x86", 64))
+    assert not apart(("x", "/x", "x86", 64), ("y", "/x", "x86", 64))
+    assert not apart(("x", "/x", "x86", 64))
