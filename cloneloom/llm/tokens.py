@@ -14,9 +14,10 @@ import gc
 import json
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,9 @@ _RUN = re.compile(r"\s[ \n](?:\s|$)|\0")
 # digit, with which they could form one piece.
 _JOINED_STOP = re.compile("[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
 
-# What is one piece for sure, and needs no cutting by the pattern.
-_PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,]")
+# What is one piece for sure, or one after a line break, which is one itself,
+# and needs no cutting by the pattern.
+_PIECE = re.compile("\n?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)| (?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)|[.,]")
 
 # Bytes that a first look at a text goes by.
 _WHITE = np.zeros(256, bool)
@@ -128,17 +130,9 @@ def uncollected():
             gc.enable()
 
 
-class Known(dict):
-    """Numbers of chunks; a new one gets the next number and is noted."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.new.append(chunk)
-        return number
+def numbers(known: dict[str, int]) -> defaultdict[str, int]:
+    """Chunks with their numbers, in order from 0; a new one gets the next."""
+    return defaultdict(count(len(known)).__next__, known)
 
 
 class Tokens:
@@ -159,10 +153,11 @@ class Tokens:
             self.part, self.part_id = special[0]["content"], special[0]["id"]
             self.letters = byte_letters()
             self.model = self.plain.model
+            self.line_break = [t.id for t in self.model.tokenize(self.letters[10])]
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Known()
+        self.known = numbers({})
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -172,33 +167,34 @@ class Tokens:
         """Forget the older half."""
         old = len(self.known) // 2
         first = int(self.start[old])
-        self.known = Known((w, k - old) for w, k in islice(self.known.items(), old, None))
+        self.known = numbers({w: k - old for w, k in islice(self.known.items(), old, None)})
         self.start, self.length = self.start[old:] - first, self.length[old:]
         self.pool = self.pool[first:].copy()
         self.held = sum(map(len, self.known)) + BYTES_PER_CHUNK * len(self.known) + self.pool.nbytes
 
     def _piece(self, piece: str) -> list[int]:
-        """Ids of one piece, straight from the model."""
+        """Ids of one piece, or of a line break and one, straight from the model."""
+        if piece[0] == "\n":
+            return self.line_break + self._piece(piece[1:])
         if piece.isascii():  # a space and letters that stand for themselves
             written = piece.replace(" ", self.letters[32])
         else:
             written = piece.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(written)]
 
-    def _joined(self, parts: list[str]) -> list[np.ndarray]:
+    def _joined(self, parts: list[str]) -> list[list[int]]:
         """Ids of chunks, parted by the special token, which none holds."""
         joined = [self.part.join(parts[k : k + JOINED]) + self.part for k in range(0, len(parts), JOINED)]
-        ids = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)]
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(flat == self.part_id)
-        return [x[:-1] for x in np.split(flat, ends + 1)[:-1]]
+        flat = list(chain.from_iterable(e.ids for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)))
+        ends = np.flatnonzero(np.array(flat, np.uint32) == self.part_id).tolist()
+        return [flat[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, one after another, and how many each has."""
         lists: list = [self._piece(w) if _PIECE.fullmatch(w) else None for w in new]
         rest = [k for k, ids in enumerate(lists) if ids is None]
         for k, ids in zip(rest, self._joined([new[k] for k in rest]), strict=True):
-            lists[k] = ids.tolist()
+            lists[k] = ids
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(length.sum())), length
 
@@ -221,9 +217,9 @@ class Tokens:
         while self.held > MOST_BYTES and len(self.known) > 1:
             self._shrink()
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
+        new = list(islice(reversed(self.known), len(self.known) - len(self.length)))
+        if new:
+            self._learn(new[::-1])
         length = self.length[at]
         ends = np.cumsum(length)
         place = np.arange(int(ends[-1]) if len(ends) else 0)

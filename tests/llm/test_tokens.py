@@ -76,3 +76,14 @@ def test_special_tokens_are_those_of_the_library():
 def test_other_tokenizers_get_whole_texts(name):
     assert not tokens.load(public_tokenizers.path(name)).cutting
     assert got(ODD, name) == plain(ODD, name)
+
+
+def test_digits_and_first_words_need_no_cutting():
+    """They went through the pattern, at several times the cost of a piece."""
+    known = tokens.Tokens(tokens.default_tokenizer())
+    asked: list[str] = []
+    cut = known._joined
+    known._joined = lambda parts: asked.extend(parts) or cut(parts)
+    text = "Ab 12\nC 3\n45, d.\nÉté 6 7\n"
+    want = known.plain.encode(text, add_special_tokens=False).ids
+    assert next(known.encode([text])).tolist() == want and asked == ["\n"]
