@@ -68,18 +68,22 @@ def cross_architecture(binaries: DataFrame, arch_mode: str = "auto", mode: str =
     return bool(results.architectures_differ(binaries).first()["differ"]) != compat_autodetect
 
 
+def tags(binaries: DataFrame, name: str = "_tag") -> DataFrame:
+    """(binary_id, name): ``[arch_bits]path`` of each binary."""
+    return binaries.select("binary_id", tag(F.col("arch"), F.col("bits"), F.col("path")).alias(name))
+
+
 def tagged(members: DataFrame, binaries: DataFrame) -> DataFrame:
     """Members whose binary_id is ``[arch_bits]path``."""
-    names = binaries.select("binary_id", tag(F.col("arch"), F.col("bits"), F.col("path")).alias("_tag"))
-    return members.join(names, "binary_id").withColumn("binary_id", F.col("_tag")).drop("_tag")
+    return members.join(tags(binaries), "binary_id").withColumn("binary_id", F.col("_tag")).drop("_tag")
 
 
 def named_apart(vecs: DataFrame, binaries: DataFrame) -> bool:
     """Whether each binary of the vectors has one tagged name, its own. If so,
     classes of different vectors never have the same tagged functions."""
-    names = binaries.select("binary_id", tag(F.col("arch"), F.col("bits"), F.col("path")).alias("_tag"))
-    n, ids, tags = names.agg(F.count(F.lit(1)), F.countDistinct("binary_id"), F.countDistinct("_tag")).first()
-    return n == ids == tags and vecs.join(names, "binary_id", "left_anti").isEmpty()
+    names = tags(binaries)
+    n, ids, different = names.agg(F.count(F.lit(1)), F.countDistinct("binary_id"), F.countDistinct("_tag")).first()
+    return n == ids == different and vecs.join(names, "binary_id", "left_anti").isEmpty()
 
 
 def detect_clones(
@@ -135,6 +139,13 @@ def detect_clones(
             report(f"candidate structures: {structural.candidates(tree, min_depth).count()}")
         members = phase(structural.structural_members(tree, min_depth, strict), "structural_members", "members of structural classes")
         if mode == "combined":
+            vecs = written(vecs, "vectors")
+            if named_apart(vecs, corpus.binaries):
+                classes = combined.Classes(members.join(tags(corpus.binaries, "name"), "binary_id"), vecs, min_similarity)
+                if report:
+                    report(f"members of combined classes: {classes.found.agg(F.sum('size')).first()[0] or 0}")
+                found = combined.deepest_classes(classes.found) if dedup else classes.found
+                return classes.members(results.class_numbers(found, sort))
             members = phase(combined.combined_members(members, vecs, min_similarity), "combined_members", "members of combined classes")
     members = tagged(members, corpus.binaries)
     if dedup:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneloom import queries
-from cloneloom.operators import combined, semantic, vectors
+from cloneloom.operators import combined, results, semantic, vectors
 from cloneloom.operators.common import written
 from cloneloom.plans import detect
 
@@ -73,3 +73,28 @@ def test_names_that_clash_are_not_apart(spark):
     assert apart(("x", "/x", "x86", 64), ("y", "/y", "x86", 64))
     assert not apart(("x", "/x", "x86", 64), ("y", "/x", "x86", 64))
     assert not apart(("x", "/x", "x86", 64))
+
+
+def test_combined_detection_lists_members_last(spark, data_dir, monkeypatch):
+    """All members were written twice, and told apart by their hashes."""
+    corpus = queries.shape_corpus(spark, data_dir)
+    names = ["class_key", "clone_class_id", "class_depth", "size", "binary_id", "function_id", "node_id", "depth", "basic_blocks"]
+    found = lambda: Counter(map(repr, detect.detect_clones(corpus, "combined", 2, 0.9, sort="size-desc").select(names).collect()))
+    with monkeypatch.context() as patched:
+        patched.setattr(detect, "named_apart", lambda *_: False)
+        want = found()
+    for place, name in ((combined, "combined_members"), (results, "deepest_only"), (results, "ranked")):
+        monkeypatch.setattr(place, name, refuse)
+    monkeypatch.setattr(combined, "SHARE", 1)
+    monkeypatch.setattr(combined, "HOT_SHARE", 0)
+    assert found() == want and len(want) > 100
+
+
+def test_vectors_of_functions_are_not_broadcast(spark):
+    """A million functions with a few vectors are a file of a few MB, which
+    the driver gathered and broadcast."""
+    vecs = written(some_vectors(spark), "vectors")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    members = vecs.select(F.lit("k").alias("class_key"), "binary_id", "function_id", F.lit(0).alias("node_id"), F.lit(1).alias("depth"), F.lit("x").alias("name"))
+    plan = combined.Classes(members, vecs, 0.9).rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
